@@ -123,15 +123,17 @@ def _counted(batches):
             for part in by_blocks([batch.filter(pc.equal(batch.column(1), lang))], "text", lambda b: b.column(0)):
                 for _, _, code in trigrams(part):
                     own += np.bincount(code, minlength=BUCKETS + 1)[:BUCKETS]
-    yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array([v.tobytes() for v in found.values()], pa.binary())], names=["lang", "counts"])
+    for lang, own in found.items():
+        at = np.flatnonzero(own)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
 
 
-def fit(labelled: DataFrame, rows_per_lang: int = 1000, tasks: int = 4) -> LanguageModel:
+def fit(labelled: DataFrame, rows_per_lang: int = 1000) -> LanguageModel:
     """Learns from `text` and `lang` of a bounded sample of the labelled rows.
 
     `rows_per_lang` bounds the sample: rows whose hash falls below the share that makes
-    about that many of each language, at most twice that many for all together. `tasks`
-    bounds how many count tables (0.5 MB a language) reach the driver.
+    about that many of each language, at most twice that many for all together. The
+    driver gets their summed trigram counts, BUCKETS rows a language at most.
     """
     known = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -140,10 +142,12 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1000, tasks: int = 4) -> Langu
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(min(1.0, rows_per_lang / n)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     some = known.where(draw < share[F.col("lang")]).select("text", "lang", "doc_id").limit(2 * rows_per_lang * len(sizes))
-    made = some.repartition(tasks, F.xxhash64("doc_id")).select("text", "lang").mapInArrow(_counted, "lang string, counts binary").collect()
+    made = some.select("text", "lang").mapInArrow(_counted, "lang string, bucket long, n long")
+    summed = made.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts: dict[str, np.ndarray] = {}
-    for r in made:
-        counts[r["lang"]] = counts.get(r["lang"], 0) + np.frombuffer(r["counts"], np.int64)
+    for lang, own in summed.groupby("lang"):
+        counts[lang] = np.zeros(BUCKETS, np.int64)
+        counts[lang][own["bucket"]] = own["n"]
     return LanguageModel.from_counts(counts)
 
 
