@@ -2,8 +2,8 @@
 
 Every line with a word is judged alone: navigation (at least three `|`, or other menu
 separators, between short entries), boilerplate (set phrases of site furniture) and
-punctuation (more than 30 of 100 of its non-space characters are ASCII punctuation, or
-it has no letter or digit). Failing lines are removed; a document that loses more than
+punctuation (at least four of its non-space characters, and more than 30 of 100, are
+ASCII punctuation). Failing lines are removed; a document that loses more than
 half of its word characters is rejected, and so is one that fails the base rules.
 
 A null or blank text has no words and fails the base rules (under 20 words). Everything
@@ -26,7 +26,7 @@ PUNCTUATION = r"[!-/:-@\[-`{-~]"
 PHRASES = ("cookie policy", "privacy policy", "terms of service", "terms of use", "click here", "read more", "sign up", "log in", "enable javascript", "subscribe to our newsletter", "skip to content", "share this")
 BOILERPLATE = "(?i)" + "|".join(PHRASES)
 MENU = r"^[^|»›•]{0,24}([|»›•][^|»›•]{0,24}){3,}$"
-MOST_PUNCTUATION, MOST_LOST = 30, 50
+MOST_PUNCTUATION, FEW_MARKS, MOST_LOST = 30, 4, 50
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines")
 
@@ -61,7 +61,7 @@ def repeat_words(hashes: Column) -> Column:
 def failed_line(line: Column) -> Column:
     solid = F.regexp_replace(line, SPACE, "")
     marks = F.length(solid) - F.length(F.regexp_replace(solid, PUNCTUATION, ""))
-    return F.rlike(line, F.lit(MENU)) | F.rlike(line, F.lit(BOILERPLATE)) | (100 * marks > MOST_PUNCTUATION * F.length(solid))
+    return F.rlike(line, F.lit(MENU)) | F.rlike(line, F.lit(BOILERPLATE)) | ((marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ twice as (select r, i from g qualify count(*) over (partition by r, k) > 1),
 rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + {WINDOW})) as p from twice) group by r),
 l as (select r, x, regexp_replace(x, '{SPACE}', '', 'g') as s from (select r, unnest(ls) as x from w)),
 m as (select r, x, s, regexp_matches(x, '{MENU}') or regexp_matches(x, '{BOILERPLATE}')
-  or 100 * (length(s) - length(regexp_replace(s, '{PUNCTUATION}', '', 'g'))) > {MOST_PUNCTUATION} * length(s) as bad from l),
+  or length(s) - length(regexp_replace(s, '{PUNCTUATION}', '', 'g')) >= greatest({FEW_MARKS}, floor({MOST_PUNCTUATION} * length(s) / 100) + 1) as bad from l),
 n as (select r, count(*) filter (s <> '') - count(distinct case when s <> '' then x end) as dups,
   sum(length(s)) as chars, coalesce(sum(length(s)) filter (bad), 0) as lost from m group by r),
 j as (select doc_id, cast(len(ws) as bigint) as n_words, cast(chars as bigint) as word_chars,

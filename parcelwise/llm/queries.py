@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.llm import chat, langid, licenses, packing, quality, secretscan, simhash, tokenfile, wordbpe
+from parcelwise.llm import chat, langid, licenses, packing, pqdedup, quality, secretscan, simhash, tokenfile, wordbpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pqdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
@@ -68,7 +72,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = (op1_language_id, op2_token_file, op3_secret_scan, op4_quality_rules, op5_chat_format, op6_license_scan, op7_word_bpe, op8_simhash, op10_packing)
+    found = (op1_language_id, op2_token_file, op3_secret_scan, op4_quality_rules, op5_chat_format, op6_license_scan, op7_word_bpe, op8_simhash, op9_embedding_dedup, op10_packing)
     return {f.__name__: f for f in found}
 
 
