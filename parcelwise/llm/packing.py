@@ -28,10 +28,10 @@ from parcelwise.llm.common import row_blocks, stored
 PIECES = "part long, doc_id long, start long, length long, doc_tokens long, rank long, ids binary"
 
 
-def nnls(columns: np.ndarray, uses: np.ndarray, target: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """x >= 0 that brings A x near `target`; A's column j has uses[j, i] at row columns[j, i].
+def nnls(columns: np.ndarray, uses: np.ndarray, target: np.ndarray, rounds: int = 60, settled: float = 0.25) -> np.ndarray:
+    """x >= 0 that brings A x near `target`; A's column j has uses[j, i] at row columns[j, i], or 0 at row 0.
 
-    Cyclic coordinate descent: each step is the exact minimum along one pattern.
+    Cyclic coordinate descent: each step is the exact minimum along one pattern, until no count moves by `settled`.
     """
     x, rest = np.zeros(len(columns)), target.astype(float)
     norm = (uses.astype(float) ** 2).sum(1)
@@ -44,7 +44,7 @@ def nnls(columns: np.ndarray, uses: np.ndarray, target: np.ndarray, rounds: int
                 x[j] += step
                 rest[at] -= step * use
                 moved = max(moved, abs(step))
-        if moved < 0.25:
+        if moved < settled:
             break
     return x
 
