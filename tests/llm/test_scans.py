@@ -109,7 +109,7 @@ def test_quality_counts(spark, odd_docs, odd_texts, no_docs):
 def test_lines(spark):
     menu = "Home | News | Sport | Weather | More"
     body = "\n".join(f"The boats of day {n} " + " ".join(f"went{n} by{k}" for k in range(6)) + "." for n in range(6))
-    texts = [body, f"{menu}\n{body}\nClick here to read more", "\n".join([menu.replace("News", f"News{i}") for i in range(9)]) + "\n" + body[:160], "As.\n\n" + body, "word&&& " * 3 + " ".join(f"w{i}&&&" for i in range(40))]
+    texts = [body, f"{menu}\n{body}\nClick here to read more", "\n".join(f"A{i} | B{i} | C{i} | D{i}" for i in range(30)) + "\n" + body[:160], "As.\n\n" + body, "word&&& " * 3 + " ".join(f"w{i}&&&" for i in range(40))]
     got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [got[i].kept for i in range(5)] == [True, True, False, True, False]
     assert got[0].clean_text == body and got[1].clean_text == body and got[3].clean_text == texts[3]
