@@ -1,39 +1,15 @@
-"""What the operators of this subpackage share: shared storage, text buffers, blocks of rows."""
+"""What the operators of this subpackage share: text buffers, blocks of rows."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; its temporaries are a small multiple of this.
 BLOCK_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
-
-    A temporary folder serves only where the setting is absent, as in local tests.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parcelwise-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/parcelwise/{name}-{uuid.uuid4().hex}"
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to shared storage and read back: it cuts lineage and survives lost executors."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column; nulls count as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")
@@ -64,11 +40,6 @@ def by_blocks(batches, text: str, f, most: int = BLOCK_BYTES):
             yield f(batch.slice(start, stop - start))
 
 
-def ascii_lower(column):
-    """A string column with A-Z in lower case and everything else kept."""
-    return F.translate(column, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def renamed(batch: pa.RecordBatch, **more) -> pa.RecordBatch:
     """batch with further columns; those of the same name are replaced."""
     names = [n for n in batch.schema.names if n not in more]

@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm.bytebpe import encode
-from parcelwise.llm.common import row_blocks, stored
+from parcelwise.llm.common import row_blocks
+from parcelwise.session import stored
 
 PIECES = "part long, doc_id long, start long, length long, doc_tokens long, rank long, ids binary"
 

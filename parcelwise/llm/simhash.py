@@ -32,8 +32,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_blocks, stored
+from parcelwise.llm.common import by_blocks
 from parcelwise.llm.components import connected
+from parcelwise.session import stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 SHINGLES = 1 << 18  # hashes whose bits are counted at once

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.bytebpe import encode
-from parcelwise.llm.common import row_blocks, shared_dir
+from parcelwise.llm.common import row_blocks
+from parcelwise.session import shared_dir
 
 MAGIC = b"EFIDS001"
 SAMPLE = 256
