@@ -26,8 +26,8 @@ def extent(points: DataFrame, depots: DataFrame) -> DataFrame:
 def guarded(box: DataFrame, most_km: float = MOST_SPAN_KM) -> DataFrame:
     """The extent; it raises when a span is over most_km."""
     wide = (F.col("lat_km") > most_km) | (F.col("lon_km") > most_km)
-    checked = F.when(wide, F.raise_error(F.lit(f"the area spans over {most_km:g} km")).cast("double"))
-    return box.withColumn("lat_km", F.coalesce(checked, F.col("lat_km")))
+    refused = F.when(wide, F.raise_error(F.lit(f"the area spans over {most_km:g} km")).cast("double"))
+    return box.select(*(F.coalesce(refused, F.col(c)).alias(c) for c in box.columns))  # on every column, so that none can be pruned away
 
 
 def bounding_box(points: DataFrame, depots: DataFrame, margin_km: float = MARGIN_KM) -> DataFrame:

@@ -120,7 +120,7 @@ def pair_seconds(pairs: DataFrame, graph: RoadGraph, known: DataFrame | None = N
     spark = pairs.sparkSession
     held = spark.sparkContext.broadcast(graph)
     low, high = (F.col("a"), F.col("b")) if directed else (F.least("a", "b"), F.greatest("a", "b"))
-    asked = pairs.select(low.cast("long").alias("a"), high.cast("long").alias("b")).where("a is not null and b is not null").distinct()
+    asked = pairs.where("a is not null and b is not null").select(low.cast("long").alias("a"), high.cast("long").alias("b")).distinct()
     same = asked.where("a = b").withColumn("duration", F.lit(0.0))
     todo = asked.where("a <> b")
     if known is not None:
@@ -146,5 +146,6 @@ def pair_seconds(pairs: DataFrame, graph: RoadGraph, known: DataFrame | None = N
 
 def with_seconds(pairs: DataFrame, durations: DataFrame) -> DataFrame:
     """Every pair asked for, repeats and order columns kept, with its duration or null."""
-    key = pairs.select("*", F.least("a", "b").alias("_a"), F.greatest("a", "b").alias("_b"))
+    both = F.col("a").isNotNull() & F.col("b").isNotNull()  # least and greatest pass over nulls
+    key = pairs.select("*", F.when(both, F.least("a", "b")).alias("_a"), F.when(both, F.greatest("a", "b")).alias("_b"))
     return key.join(durations.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "duration"), ["_a", "_b"], "left").drop("_a", "_b")

@@ -59,7 +59,7 @@ def result_document(routes: DataFrame, orders: DataFrame) -> DataFrame:
 def written(path: str, data: bytes) -> str:
     system, name = fs.FileSystem.from_uri(path if "://" in path else "file://" + path)
     system.create_dir(name.rsplit("/", 1)[0], recursive=True)
-    with system.open_output_stream(name) as f:
+    with system.open_output_stream(name, compression=None) as f:
         f.write(data)
     return path
 

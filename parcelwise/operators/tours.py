@@ -112,7 +112,7 @@ def sequence_routes(stops: DataFrame, graph: RoadGraph) -> DataFrame:
 def leg_seconds(series: DataFrame, durations: DataFrame) -> DataFrame:
     """label and the sum of its legs' durations, from stops in order (label, route_series, node_id) and pair durations."""
     before = F.lag("node_id").over(Window.partitionBy("label").orderBy("route_series"))
-    legs = series.select("label", before.alias("a"), F.col("node_id").alias("b")).where("a is not null")
+    legs = series.select("label", before.alias("a"), F.col("node_id").alias("b")).where("a is not null and b is not null")
     key = legs.select("label", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     timed = key.join(durations, ["a", "b"], "left").withColumn("s", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("duration")))
     return timed.groupBy("label").agg(F.sum("s").alias("travel_seconds"), F.count("*").alias("n_legs"))

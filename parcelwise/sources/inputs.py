@@ -35,11 +35,12 @@ def read_orders(spark: SparkSession, path: str) -> DataFrame:
 
 def points_of(orders: DataFrame) -> DataFrame:
     """orders with point_id, lat and lon; rows without a sound coordinate raise, as they cannot be served."""
-    checked = F.when(sound_point("latitude", "longitude"), F.col("latitude")).otherwise(F.raise_error(F.lit("an order has no sound coordinate")).cast("double"))
+    refused = F.raise_error(F.lit("an order has no sound coordinate")).cast("double")
+    checked = lambda c: F.when(sound_point("latitude", "longitude"), F.col(c)).otherwise(refused)
     if "point_id" not in orders.columns:
         order = [c for c, kind in orders.dtypes if not kind.startswith(("map", "struct", "array"))]
         orders = numbered(orders, "point_id", *order)
-    return orders.withColumn("lat", checked).withColumn("lon", F.col("longitude"))
+    return orders.withColumn("lat", checked("latitude")).withColumn("lon", checked("longitude"))
 
 
 def parse_depots(spark: SparkSession, text: str) -> DataFrame:
