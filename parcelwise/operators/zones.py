@@ -49,9 +49,9 @@ def zoned(xy: np.ndarray, zone_points: int, micro: int = MICRO, seed: int = 0) -
 
 
 def split_zones(points: DataFrame, zone_points: int = ZONE, seed: int = 0) -> DataFrame:
-    """point_id, bucket and zone. Buckets are stretches of a space-filling curve of four zones' points each."""
+    """point_id, bucket and zone. Buckets are stretches of a space-filling curve of two zones' points each."""
     placed = numbered(points.select("point_id", "lat", "lon", curve_place("lat", "lon").alias("_curve")), "_at", "_curve", "point_id")
-    bucket = placed.withColumn("bucket", F.floor(F.col("_at") / (4 * zone_points)))
+    bucket = placed.withColumn("bucket", F.floor(F.col("_at") / (2 * zone_points)))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
