@@ -58,30 +58,37 @@ def repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) > WINDOW, some).otherwise(F.lit(0).cast("long"))
 
 
+def solid_part(text: Column) -> Column:
+    """The text without white space; plain spaces, the many, go by a byte-wise replacement."""
+    return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), SPACE, "")
+
+
 def failed_line(line: Column) -> Column:
-    solid = F.regexp_replace(line, SPACE, "")
+    solid = solid_part(line)
     marks = F.length(solid) - F.length(F.regexp_replace(solid, PUNCTUATION, ""))
-    return F.rlike(line, F.lit(MENU)) | F.rlike(line, F.lit(BOILERPLATE)) | ((marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
+    parted = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("›")) | F.contains(line, F.lit("•"))
+    return (parted & F.rlike(line, F.lit(MENU))) | F.rlike(line, F.lit(BOILERPLATE)) | ((marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines and clean_text."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    solid = lambda c: F.length(F.regexp_replace(c, SPACE, "")).cast("long")
+    solid = lambda c: F.length(solid_part(c)).cast("long")
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.split(text, "\n")
     worded = F.filter(lines, lambda x: F.rlike(x, F.lit(WORD_CHAR)))
     counted = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeat_words(h).alias("n_repeat_words")))
     dups = let(F.transform(worded, lambda x: F.xxhash64(x)), lambda h: (F.size(h) - F.size(F.array_distinct(h))).cast("long"))
     good = F.filter(lines, lambda x: ~failed_line(x))
-    out = docs.select(
-        *(f"`{c}`" for c in docs.columns if c not in (*OWN, "clean_text")),
+    found = F.struct(
         counted.alias("_words"),
         solid(text).alias("word_chars"),
         F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         dups.alias("n_dup_lines"),
         let(good, lambda g: F.struct((F.size(lines) - F.size(g)).cast("long").alias("n"), F.array_join(g, "\n").alias("text"))).alias("_good"),
     )
+    # A generator of one row: a filter on its columns is not pushed below it, which would work all of them out twice.
+    out = docs.select(*(f"`{c}`" for c in docs.columns if c not in (*OWN, "clean_text")), F.inline(F.array(found)))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
     lost = F.col("word_chars") - solid(F.col("_good.text"))
     out = out.withColumns({"n_words": F.col("_words.n_words"), "n_repeat_words": F.col("_words.n_repeat_words"), "n_bad_lines": F.col("_good.n"), "clean_text": F.col("_good.text")})
