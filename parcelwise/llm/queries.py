@@ -76,5 +76,32 @@ def queries() -> dict:
     return {f.__name__: f for f in found}
 
 
+CHAT_SQL = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')),
+n as (select *, 4 + 2 + 8 + length(role) + length(text)
+    + 2 * length(role || text) - length(replace(role || text, '\', '')) - length(replace(role || text, '#', ''))
+    + (length(role) - length(replace(role, '</', ''))) / 2 + (length(text) - length(replace(text, '</', ''))) / 2
+    + length(role) - length(replace(role, chr(10), '')) as size from t)
+select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, text) filter (role = 'assistant'), '')) as loss_sha256,
+  cast(sum(size) as bigint) as formatted_chars
+from n group by conv_id
+"""
+
+EMBEDDINGS_SQL = """
+with recursive v as (select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as e from embeddings),
+s as (select * from v where label is not null and len(e) > 0 and len(list_filter(e, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+link as (select a.vec_id as x, b.vec_id as y from s a join s b on a.label = b.label and a.vec_id <> b.vec_id and len(a.e) = len(b.e) where list_cosine_similarity(a.e, b.e) >= 0.98),
+reach as (select x, y from link union select r.x, l.y from reach r join link l on r.y = l.x),
+least as (select x, min(y) as m from reach group by x),
+n as (select x, count(*) as n from link group by x)
+select vec_id, coalesce(n.n, 0) as n_links, least(vec_id, coalesce(m, vec_id)) as component_id, vec_id <= coalesce(m, vec_id) as kept
+from v left join n on n.x = vec_id left join least on least.x = vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE_SQL}
+    return {"op4_quality_rules": quality.ORACLE_SQL, "op5_chat_format": CHAT_SQL, "op9_embedding_dedup": EMBEDDINGS_SQL}
