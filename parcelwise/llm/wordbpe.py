@@ -21,7 +21,7 @@ import json
 import os
 import re
 import unicodedata
-from functools import cache
+from functools import cache, cached_property
 from itertools import chain
 
 import numpy as np
@@ -44,14 +44,13 @@ BEYOND = re.compile("[^\x00-ɏ]")
 
 class WordBpe:
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model, end = spec["model"], spec["model"]["end_of_word_suffix"]
         if model["type"] != "BPE" or not end or spec["decoder"]:
             raise ValueError(f"{path} is no BPE file with word ends and without a decoder")
         vocab = model["vocab"]
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.letters = byte_letters()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.specials = re.compile("(" + "|".join(map(re.escape, self.special)) + ")")
@@ -74,6 +73,12 @@ class WordBpe:
         self.apart: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's own tokenizer, for the texts that need its normalizer; most workers never load it."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        return Tokenizer.from_file(self.path)
+
     def stay_apart(self, a: int, b: int) -> bool:
         """Whether BPE never merges across the border of the tokens a and b, side by side."""
         key = a << 20 | b
