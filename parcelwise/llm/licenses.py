@@ -45,6 +45,7 @@ TEMPLATES = (
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", 4, least=0.5),
     Template("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", 4, least=0.5),
     Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", 4, least=0.5),
+    Template("mit", "released under the mit license", 4),
     Template("mpl", "this source code form is subject to the terms of the mozilla public license", 4, least=0.5),
 )
 SIZES = (2, 4)

@@ -12,7 +12,8 @@ cosine in double precision. Both bounds are exact, so no link is lost and recall
 Lists longer than `block` are dealt into blocks by hash; a query meets each block. Links
 are never listed pair by pair: a block returns each query's number of links and a
 spanning forest, at most one row for each query and member. Block numbers come from
-counts in a table of fixed size (lists x LABEL_SLOTS).
+counts by list and hashed label; that table has at most 256 x LABEL_SLOTS rows, whatever
+the input, and is broadcast.
 
 Vectors that are null, empty, zero or hold null or non-finite components, those with a
 null label and those with a null vec_id link with nothing; vectors of different length
@@ -221,14 +222,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
     held = vectors.sparkSession.sparkContext.broadcast(fitted)
     index = stored(classes.select("label", "node", "weight", "v").mapInArrow(lambda it: _encoded(it, held.value, radius), INDEX), "pq-index")
 
-    slot = F.pmod(F.hash("label"), F.lit(LABEL_SLOTS))
-    counts = index.groupBy(slot.alias("slot"), "list").agg(F.count("*").alias("n")).where(F.col("n") > block).collect()
-    blocks = F.lit(1)
-    if counts:
-        many = F.create_map(*[F.lit(x) for r in counts for x in (r["slot"] * 1000 + r["list"], -(-r["n"] // block))])
-        blocks = F.coalesce(many[slot * 1000 + F.col("list")], F.lit(1)).cast("int")
-    member = index.select("label", "list", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(False).alias("asks"), "node", "weight", "vec", "codes", "err")
-    asking = index.select("label", F.explode("probes").alias("list"), "node", "vec")
+    slot = F.pmod(F.hash("label"), F.lit(LABEL_SLOTS)).alias("slot")
+    long_lists = index.groupBy(slot, "list").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    long_lists = F.broadcast(long_lists.select("slot", "list", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    member = index.withColumn("slot", slot).join(long_lists, ["slot", "list"], "left")
+    member = member.select("label", "list", F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"), F.lit(False).alias("asks"), "node", "weight", "vec", "codes", "err")
+    asking = index.select("label", slot, F.explode("probes").alias("list"), "node", "vec").join(long_lists, ["slot", "list"], "left")
     asking = asking.select("label", "list", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.lit(True).alias("asks"), "node", F.lit(None).cast("long").alias("weight"), "vec", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("float").alias("err"))
     key = ["label", "list", "block"]
     met = member.unionByName(asking).repartition(*key).sortWithinPartitions(*key, "asks")

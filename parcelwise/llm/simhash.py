@@ -6,7 +6,8 @@ of their eight bytes, so at least four positional bytes agree. A posting list fo
 single byte would hold a 256th of the corpus; instead the index is keyed by those 20
 triples of positions (with their bytes) of which any four positions contain one, so
 that every pair with four shared bytes meets in a list, and lists are 2^24 times
-shorter than the corpus. Pairs that meet are tallied over all eight positions, those
+shorter than the corpus. Over `WIDE` distinct fingerprints the keys are all 70 fours of
+positions, which gives the same links from lists 2^32 times shorter. Pairs that meet are tallied over all eight positions, those
 with fewer than the guaranteed four shared bytes dropped, the rest verified by their
 differing bits.
 
@@ -37,6 +38,7 @@ from parcelwise.llm.components import connected
 from parcelwise.session import stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+WIDE = 1 << 26
 SHINGLES = 1 << 18  # hashes whose bits are counted at once
 SEED = 42
 
@@ -137,13 +139,16 @@ def _linked(batches, bits: int, least_shared: int, pairwise: int):
         yield links(*held)
 
 
-def near_links(nodes: DataFrame, bits: int = 4, pairwise: int = 16) -> DataFrame:
+def near_links(nodes: DataFrame, bits: int = 4, pairwise: int = 16, wide: int = WIDE) -> DataFrame:
     """Links (a, b) between nodes (node, print) with different prints of at most `bits` differing bits.
 
     Not every such pair is listed, but the links' components are those of all pairs.
     """
+    if not 0 <= bits <= 4:
+        raise ValueError("the index guarantees shared bytes for 4 bits at most")
     keys = []
-    for k, places in enumerate(position_triples()):
+    places_of = position_triples() if nodes.count() <= wide else combinations(range(8), 8 - bits)
+    for k, places in enumerate(places_of):
         part = F.lit(k).cast("long")
         for p in places:
             part = F.shiftleft(part, 8).bitwiseOR(F.shiftrightunsigned("print", 8 * p).bitwiseAND(F.lit(255)))

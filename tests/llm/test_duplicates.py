@@ -59,8 +59,8 @@ def test_blocks_of_hashes_add_up(odd_texts, monkeypatch):
     assert simhash.fingerprint(odd_texts[-1]) == want
 
 
-@pytest.mark.parametrize("pairwise", [1, 16])
-def test_links_join_what_all_pairs_join(spark, pairwise):
+@pytest.mark.parametrize(("pairwise", "wide"), [(1, 1 << 26), (16, 1 << 26), (16, 0)])
+def test_links_join_what_all_pairs_join(spark, pairwise, wide):
     rng = random.Random(5)
     prints = {0, 7}
     for _ in range(25):  # groups about a centre, and chains away from it
@@ -75,7 +75,7 @@ def test_links_join_what_all_pairs_join(spark, pairwise):
     prints |= {rng.getrandbits(64) for _ in range(100)}
     prints = sorted(prints)
     signed = np.array(prints, np.uint64).view(np.int64).tolist()
-    links = simhash.near_links(spark.createDataFrame(list(enumerate(signed)), "node long, print long"), 4, pairwise).collect()
+    links = simhash.near_links(spark.createDataFrame(list(enumerate(signed)), "node long, print long"), 4, pairwise, wide).collect()
     assert all((prints[r.a] ^ prints[r.b]).bit_count() <= 4 for r in links)
     every = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4]
     assert components_of(range(len(prints)), [tuple(r) for r in links]) == components_of(range(len(prints)), every)
