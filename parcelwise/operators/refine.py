@@ -128,7 +128,8 @@ def refined(points: np.ndarray, labels: np.ndarray, nodes: list[int], seconds: P
 def refine_clusters(stops: DataFrame, graph: RoadGraph, by: str | None = None) -> DataFrame:
     """stops (point_id, lat, lon, node_id, label) with the labels after refinement.
 
-    One task refines one region: all stops, or those of one value of `by`.
+    One task refines one region: all stops, or those of one value of `by`, which must
+    hold whole clusters. The planner refines zone by zone, so a group stays bounded.
     """
     held = stops.sparkSession.sparkContext.broadcast(graph)
     key = F.col(by) if by else F.lit(0)

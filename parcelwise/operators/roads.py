@@ -126,6 +126,11 @@ def largest_scc(edge_table: DataFrame) -> DataFrame:
     return edge_table.sparkSession.createDataFrame([(int(x),) for x in found], "node_id long")
 
 
+def node_coordinates(node_table: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (node_id, ...) with lat and lon; unknown nodes get nulls."""
+    return wanted.join(node_table.select("node_id", "lat", "lon"), "node_id", "left")
+
+
 def inside(edge_table: DataFrame, kept: DataFrame) -> DataFrame:
     """Edges of which both ends are kept nodes."""
     for end in ("start", "end"):

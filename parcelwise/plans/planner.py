@@ -83,7 +83,8 @@ def plan(orders: DataFrame, depots: DataFrame, road_lines: DataFrame, settings:
     stops = stored(snapped_points(points.select("point_id", "lat", "lon"), net), "snapped")
     seats = stored(snapped_depots(depots, net), "depots")
     made = clusters(stops, seats, net, settings)
-    better = refine.refine_clusters(stops.join(made.select("point_id", "label"), "point_id"), net.graph)
+    zone = (F.col("bucket") * 1_000_000 + F.col("zone")).alias("zone")
+    better = refine.refine_clusters(stops.join(made.select("point_id", "label", zone), "point_id"), net.graph, "zone")
     done = routed(stops.join(better, "point_id"), seats, net)
     stats = report.route_statistics(done, report.seconds_to_first(done, net.graph), settings.per_stop)
     return stats, report.result_orders(points.drop("lat", "lon"), done)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -12,11 +14,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    A temporary folder serves only where the setting is absent, as in local tests.
+    A temporary folder, gone with the process, serves only where the setting is absent,
+    as in local tests.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="parcelwise-")
+        own = tempfile.mkdtemp(prefix="parcelwise-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = "file://" + own
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/parcelwise/{name}-{uuid.uuid4().hex}"
 
