@@ -24,7 +24,7 @@ WORD_CHAR = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 PHRASES = ("cookie policy", "privacy policy", "terms of service", "terms of use", "click here", "read more", "sign up", "log in", "enable javascript", "subscribe to our newsletter", "skip to content", "share this")
-BOILERPLATE = "(?i)" + "|".join(PHRASES)
+BOILERPLATE = "|".join(PHRASES)
 MENU = r"^[^|»›•]{0,24}([|»›•][^|»›•]{0,24}){3,}$"
 MOST_PUNCTUATION, FEW_MARKS, MOST_LOST = 30, 4, 50
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -51,9 +51,18 @@ def covered(hashes: Column) -> Column:
     return let(let(ordered, starts), total)
 
 
+def joined(hashes: Column, step: int) -> Column:
+    """The hash of each value with the one `step` places on."""
+    n = F.size(hashes) - step
+    return F.zip_with(F.slice(hashes, 1, n), F.slice(hashes, 1 + step, n), lambda a, b: F.xxhash64(a, b))
+
+
 def repeat_words(hashes: Column) -> Column:
-    """Words inside word windows found twice or more, the first place included, from the words' hashes."""
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+    """Words inside word windows found twice or more, the first place included, from the words' hashes.
+
+    A window's hash is made by doubling: of one word, of two, of four, of eight.
+    """
+    windows = let(let(joined(hashes, 1), lambda two: joined(two, 2)), lambda four: joined(four, WINDOW // 2))
     some = let(windows, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
     return F.when(F.size(hashes) > WINDOW, some).otherwise(F.lit(0).cast("long"))
 
@@ -64,10 +73,9 @@ def solid_part(text: Column) -> Column:
 
 
 def failed_line(line: Column) -> Column:
-    solid = solid_part(line)
-    marks = F.length(solid) - F.length(F.regexp_replace(solid, PUNCTUATION, ""))
+    dense = lambda solid: let(F.length(solid) - F.length(F.regexp_replace(solid, PUNCTUATION, "")), lambda marks: (marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
     parted = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("›")) | F.contains(line, F.lit("•"))
-    return (parted & F.rlike(line, F.lit(MENU))) | F.rlike(line, F.lit(BOILERPLATE)) | ((marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
+    return (parted & F.rlike(line, F.lit(MENU))) | F.rlike(F.lower(line), F.lit(BOILERPLATE)) | let(solid_part(line), dense)
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ g as (select r, i, array_to_string(ws[i:i + {WINDOW - 1}], ' ') as k from (selec
 twice as (select r, i from g qualify count(*) over (partition by r, k) > 1),
 rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + {WINDOW})) as p from twice) group by r),
 l as (select r, x, regexp_replace(x, '{SPACE}', '', 'g') as s from (select r, unnest(ls) as x from w)),
-m as (select r, x, s, regexp_matches(x, '{MENU}') or regexp_matches(x, '{BOILERPLATE}')
+m as (select r, x, s, regexp_matches(x, '{MENU}') or regexp_matches(lower(x), '{BOILERPLATE}')
   or length(s) - length(regexp_replace(s, '{PUNCTUATION}', '', 'g')) >= greatest({FEW_MARKS}, floor({MOST_PUNCTUATION} * length(s) / 100) + 1) as bad from l),
 n as (select r, count(*) filter (s <> '') - count(distinct case when s <> '' then x end) as dups,
   sum(length(s)) as chars, coalesce(sum(length(s)) filter (bad), 0) as lost from m group by r),

@@ -21,7 +21,7 @@ def plain_kept(text):
     for line in text.split("\n"):
         solid = re.sub(r"[\x20\x09-\x0D]", "", line)
         marks = len(re.findall(quality.PUNCTUATION, solid))
-        bad = re.search(quality.MENU, line) or re.search(quality.BOILERPLATE, line) or (marks >= 4 and 100 * marks > 30 * len(solid))
+        bad = re.search(quality.MENU, line) or re.search(quality.BOILERPLATE, line.lower()) or (marks >= 4 and 100 * marks > 30 * len(solid))
         good += [] if bad else [line]
     solid = lambda t: len(re.sub(r"[\x20\x09-\x0D]", "", t))
     kept = len(words) >= 20 and 100 * len(inside) <= 30 * len(words) and 100 * (solid(text) - solid("\n".join(good))) <= 50 * solid(text)
