@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.session import dealt
+
 
 @dataclass
 class RoadGraph:
@@ -106,7 +108,7 @@ def from_sources(sources: DataFrame, graph: RoadGraph) -> DataFrame:
                 found = held.value.from_one(int(s))
                 yield pd.DataFrame({"source": [int(s)] * len(found), "node_id": list(found), "duration": list(found.values())})
 
-    return sources.select(F.col("source").cast("long")).distinct().mapInPandas(search, "source long, node_id long, duration double")
+    return dealt(sources.select(F.col("source").cast("long")).distinct(), "source").mapInPandas(search, "source long, node_id long, duration double")
 
 
 def pair_seconds(pairs: DataFrame, graph: RoadGraph, known: DataFrame | None = None, directed: bool = False, heuristic_kmh: float | None = None) -> DataFrame:
@@ -136,8 +138,8 @@ def pair_seconds(pairs: DataFrame, graph: RoadGraph, known: DataFrame | None = N
                     found = held.value.from_one(int(source), targets)
                 yield pd.DataFrame({"a": own["a"], "b": own["b"], "duration": [found.get(int(b)) for b in own["b"]]}, dtype=object).astype({"a": "int64", "b": "int64", "duration": "float64"})
 
-    dealt = todo.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(8))).repartition("a", "_salt").sortWithinPartitions("a").drop("_salt")
-    found = dealt.mapInPandas(search, "a long, b long, duration double").withColumn("duration", F.when(~F.isnan("duration"), F.col("duration")))
+    salted = dealt(todo.withColumn("_salt", F.pmod(F.xxhash64("b"), F.lit(8))), "a", "_salt").sortWithinPartitions("a").drop("_salt")
+    found = salted.mapInPandas(search, "a long, b long, duration double").withColumn("duration", F.when(~F.isnan("duration"), F.col("duration")))
     out = found.unionByName(same)
     if known is not None:
         out = out.unionByName(asked.join(known.select("a", "b", "duration"), ["a", "b"]).where("a <> b"))

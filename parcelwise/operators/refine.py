@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.operators.paths import PairTimes, RoadGraph
 from parcelwise.operators.tours import spanning_tree
+from parcelwise.session import dealt
 
 LEAST_GAIN = 20.0  # seconds
 
@@ -140,7 +141,7 @@ def refine_clusters(stops: DataFrame, graph: RoadGraph, by: str | None = None) -
         labels, _ = refined(pdf[["lat", "lon"]].to_numpy(float), pdf["label"].to_numpy(int), nodes, held.value.times(nodes))
         return pd.DataFrame({"point_id": pdf["point_id"], "label": labels})
 
-    return stops.select("point_id", "lat", "lon", "node_id", "label", key.alias("_region")).groupBy("_region").applyInPandas(one, "point_id long, label long")
+    return dealt(stops.select("point_id", "lat", "lon", "node_id", "label", key.alias("_region")), "_region").groupBy("_region").applyInPandas(one, "point_id long, label long")
 
 
 def cluster_trees(stops: DataFrame, graph: RoadGraph) -> DataFrame:
@@ -154,4 +155,4 @@ def cluster_trees(stops: DataFrame, graph: RoadGraph) -> DataFrame:
         rows = [] if built is None else [(min(built[0][a], built[0][b]), max(built[0][a], built[0][b]), s) for a, b, s in built[1]]
         return pd.DataFrame({"label": pd.Series([pdf["label"].iloc[0]] * len(rows), dtype="int64"), "a": pd.Series([r[0] for r in rows], dtype="int64"), "b": pd.Series([r[1] for r in rows], dtype="int64"), "duration": pd.Series([r[2] for r in rows], dtype="float64")})
 
-    return stops.select("point_id", "node_id", F.col("label").cast("long").alias("label")).groupBy("label").applyInPandas(one, "label long, a long, b long, duration double")
+    return dealt(stops.select("point_id", "node_id", F.col("label").cast("long").alias("label")), "label").groupBy("label").applyInPandas(one, "label long, a long, b long, duration double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from parcelwise.operators.matching import perfect_matching
 from parcelwise.operators.paths import PairTimes, RoadGraph
+from parcelwise.session import dealt
 
 
 def spanning_tree(cost: np.ndarray) -> list[tuple[int, int, float]]:
@@ -106,7 +107,7 @@ def sequence_routes(stops: DataFrame, graph: RoadGraph) -> DataFrame:
         seconds, places = tour(stops, start, held.value.times(stops if start is None else [*stops, start]))
         return pd.DataFrame({"label": pdf["label"], "point_id": pdf["point_id"], "route_series": [p + 1 for p in places], "travel_seconds": seconds})
 
-    return stops.select("label", "point_id", "node_id", "start_node").groupBy("label").applyInPandas(one, "label long, point_id long, route_series long, travel_seconds double")
+    return dealt(stops.select("label", "point_id", "node_id", "start_node"), "label").groupBy("label").applyInPandas(one, "label long, point_id long, route_series long, travel_seconds double")
 
 
 def leg_seconds(series: DataFrame, durations: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parcelwise.operators.area import dense_labels
 from parcelwise.operators.clusters import by_shift, by_size
 from parcelwise.operators.paths import RoadGraph
-from parcelwise.session import numbered
+from parcelwise.session import dealt, numbered
 
 ONE_ZONE, ZONE, MICRO = 2000, 1500, 10
 
@@ -35,7 +35,7 @@ def size_clusters(points: DataFrame, target: int, by: str | None = None, seed: i
         pdf = pdf.sort_values("point_id")
         return pd.DataFrame({"point_id": pdf["point_id"], "region": pdf["_region"], "label": by_size(pdf[["lat", "lon"]].to_numpy(float), target, seed=seed)})
 
-    return points.select("point_id", "lat", "lon", key.cast("long").alias("_region")).groupBy("_region").applyInPandas(one, "point_id long, region long, label long")
+    return dealt(points.select("point_id", "lat", "lon", key.cast("long").alias("_region")), "_region").groupBy("_region").applyInPandas(one, "point_id long, region long, label long")
 
 
 def zoned(xy: np.ndarray, zone_points: int, micro: int = MICRO, seed: int = 0) -> np.ndarray:
@@ -59,7 +59,7 @@ def split_zones(points: DataFrame, zone_points: int = ZONE, seed: int = 0) -> Da
         zones = zoned(xy, zone_points, seed=seed) if len(xy) > zone_points else np.zeros(len(xy), int)
         return pd.DataFrame({"point_id": pdf["point_id"], "bucket": pdf["bucket"], "zone": zones})
 
-    return bucket.select("point_id", "lat", "lon", "bucket").groupBy("bucket").applyInPandas(one, "point_id long, bucket long, zone long")
+    return dealt(bucket.select("point_id", "lat", "lon", "bucket"), "bucket").groupBy("bucket").applyInPandas(one, "point_id long, bucket long, zone long")
 
 
 def plan_zones(points: DataFrame, seed: int = 0) -> DataFrame:
@@ -86,5 +86,5 @@ def shift_clusters(points: DataFrame, zones: DataFrame, graph: RoadGraph, depots
         return pd.DataFrame({"point_id": pdf["point_id"], "bucket": pdf["bucket"], "zone": pdf["zone"], "zone_label": labels})
 
     rows = points.select("point_id", "lat", "lon", "node_id").join(zones, "point_id")
-    made = rows.groupBy("bucket", "zone").applyInPandas(one, "point_id long, bucket long, zone long, zone_label long")
+    made = dealt(rows, "bucket", "zone").groupBy("bucket", "zone").applyInPandas(one, "point_id long, bucket long, zone long, zone_label long")
     return dense_labels(made, "bucket", "zone", "zone_label").withColumnRenamed("dense_label", "label")

@@ -279,12 +279,11 @@ def zone_cluster(spark, sf_dir):
 
 
 def _clusters(spark, sf_dir, net):
-    rounds = planner.Settings(most_rounds=8)
-    return planner.clusters(snapped(spark, sf_dir, net), seats(spark, sf_dir, net), net, rounds)
+    return planner.clusters(snapped(spark, sf_dir, net), seats(spark, sf_dir, net), net, planner.Settings())
 
 
 def duration_limited_cluster(spark, sf_dir):
-    """Routes that fit a shift; at most 8 rounds of improvement."""
+    """Routes that fit a shift."""
     return _clusters(spark, sf_dir, network(spark, sf_dir))
 
 

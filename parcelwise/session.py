@@ -33,6 +33,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over all shuffle partitions. Adaptive execution would merge them by their bytes,
+    and so run the few rows of many slow groups in one task."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with `name`, the row's place from 0 in the order of the columns `order`.
 
