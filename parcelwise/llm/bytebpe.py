@@ -8,10 +8,12 @@ the test documents, tiktoken about 110. Tests hold both against each other.
 from __future__ import annotations
 
 import json
+import os
 from functools import cache
 
 import numpy as np
 import tiktoken
+from tokenizers import Tokenizer
 
 #: Fixed value: the splitting pattern of byte-level BPE files with use_regex.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -38,8 +40,21 @@ def encoder(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+@cache
+def library(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return Tokenizer.from_file(path)
+
+
 def encode(path: str, text: str | None) -> np.ndarray:
-    """The ids of a whole text; strings of special tokens in it become those tokens."""
+    """The ids of a whole text; strings of special tokens in it become those tokens.
+
+    tiktoken's splitter gives up with a ValueError on white space of some hundred
+    thousand characters in a row; such a text goes to the library itself.
+    """
     if not text:
         return np.zeros(0, np.uint32)
-    return encoder(path).encode_to_numpy(text, allowed_special="all")
+    try:
+        return encoder(path).encode_to_numpy(text, allowed_special="all")
+    except ValueError:
+        return np.array(library(path).encode(text, add_special_tokens=False).ids, np.uint32)

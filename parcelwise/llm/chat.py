@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import row_blocks, text_buffers
+from parcelwise.llm.common import row_blocks, small_batches, text_buffers
 
 # The template.
 OPEN, NAMED, CLOSE = b"### ", b":\n", b"</turn>\n"
@@ -98,7 +98,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
     `turn` counts from 0; loss_start and loss_end are code points of the conversation's
     whole output (its parts joined), null where nothing is trained on.
     """
-    own = rows.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    own = small_batches(rows).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     return own.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(_formatted, FORMATTED)
 
 

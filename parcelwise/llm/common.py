@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 #: Bytes of text that one numpy step works on; its temporaries are a small multiple of this.
 BLOCK_BYTES = 4 << 20
 
 
+#: Bytes of an Arrow batch between JVM and Python at most; a longer text stands alone.
+BATCH_BYTES = 16 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session sends Arrow batches of BATCH_BYTES at most from now on, unless it asks for less.
+
+    A batch is held some four times at once: outside the heap, in the worker, and on the
+    way back. With the default of 64 MB, two tasks of an executor need half a GB for it.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.match(r"(\d+)\s*([kmg]?)", conf.get(key).lower()).groups()
+    if int(number) << {"": 0, "k": 10, "m": 20, "g": 30}[unit] > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column; nulls count as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

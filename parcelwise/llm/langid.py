@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.llm.common import by_blocks, renamed, text_buffers
+from parcelwise.llm.common import by_blocks, renamed, small_batches, text_buffers
 
 BUCKETS = 1 << 16
 STEP = 1 << 20  # trigrams scored at once
@@ -142,7 +142,7 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1000) -> LanguageModel:
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(min(1.0, rows_per_lang / n)))])
     draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     some = known.where(draw < share[F.col("lang")]).select("text", "lang", "doc_id").limit(2 * rows_per_lang * len(sizes))
-    made = some.select("text", "lang").mapInArrow(_counted, "lang string, bucket long, n long")
+    made = small_batches(some).select("text", "lang").mapInArrow(_counted, "lang string, bucket long, n long")
     summed = made.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     counts: dict[str, np.ndarray] = {}
     for lang, own in summed.groupby("lang"):
@@ -168,4 +168,4 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     fields = [f for f in docs.schema.fields if f.name not in ADDED]
     kinds = (T.StringType(), T.DoubleType(), T.BooleanType())
     schema = T.StructType([*fields, *(T.StructField(n, k) for n, k in zip(ADDED, kinds, strict=True))])
-    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(lambda it: _predicted(it, held.value), schema)
+    return small_batches(docs).select(*(f"`{f.name}`" for f in fields)).mapInArrow(lambda it: _predicted(it, held.value), schema)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_blocks, text_buffers
+from parcelwise.llm.common import by_blocks, small_batches, text_buffers
 
 
 @dataclass(frozen=True)
@@ -149,7 +149,7 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     spark = docs.sparkSession
     if {t.k for t in templates} - set(SIZES):
         raise ValueError(f"templates' gram sizes are {SIZES}")
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     table = F.broadcast(template_grams(spark, templates))
     grams = rows.mapInArrow(_grams, GRAMS).select("row", "doc_id", "text", "n_words", "starts", F.posexplode("grams").alias("at", "gram"))
     short, first = SIZES[0], F.col("at") - 1

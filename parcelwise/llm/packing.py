@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.llm.bytebpe import encode
-from parcelwise.llm.common import row_blocks
+from parcelwise.llm.common import row_blocks, small_batches
 from parcelwise.session import stored
 
 PIECES = "part long, doc_id long, start long, length long, doc_tokens long, rank long, ids binary"
@@ -163,7 +163,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, window: int = 2048, i
     length) give each partition's first rank; only those counts and the pieces' short
     columns cross an exchange, with ids=True the pieces themselves too.
     """
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     made = rows.mapInArrow(lambda it: _pieces(it, tokenizer, end_id, window), PIECES)
     if not ids:
         made = made.withColumn("ids_crc32", F.crc32("ids")).drop("ids")

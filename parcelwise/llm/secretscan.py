@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parcelwise.llm.common import by_blocks, renamed, text_buffers
+from parcelwise.llm.common import by_blocks, renamed, small_batches, text_buffers
 
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 ARROW_SPANS = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -205,7 +205,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with `spans`: array of (kind, start, end) by start, then by the order of the rules. No exchange."""
     fields = [f for f in docs.schema.fields if f.name != "spans"]
     schema = T.StructType([*fields, T.StructField("spans", SPANS)])
-    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(lambda it: _scanned(it, rules), schema)
+    return small_batches(docs).select(*(f"`{f.name}`" for f in fields)).mapInArrow(lambda it: _scanned(it, rules), schema)
 
 
 def listed(spans) -> F.Column:

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.llm.common import by_blocks
+from parcelwise.llm.common import by_blocks, small_batches
 from parcelwise.llm.components import connected
 from parcelwise.session import stored
 
@@ -84,7 +84,7 @@ def _fingerprints(batches, words: int):
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     """doc_id and print (the 64 bits as a signed long). No exchange."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, print long")
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.bytebpe import encode
-from parcelwise.llm.common import row_blocks
+from parcelwise.llm.common import row_blocks, small_batches
 from parcelwise.session import shared_dir
 
 MAGIC = b"EFIDS001"
@@ -199,7 +199,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str |
     system, path = place(folder)
     system.create_dir(path, recursive=True)
     width = 2 if max(encoder(tokenizer).max_token_value, end_id) < 1 << 16 else 4
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     made = rows.mapInArrow(lambda it: _written(it, tokenizer, end_id, folder, width, shard_tokens), MANIFEST).collect()
     order = sorted(made, key=lambda r: (r.n_null == 0, r.first_doc if r.first_doc is not None else -(1 << 63)))

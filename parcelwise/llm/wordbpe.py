@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from parcelwise.llm.bytebpe import byte_letters
-from parcelwise.llm.common import by_blocks, renamed
+from parcelwise.llm.common import by_blocks, renamed, small_batches
 
 MEMO = 400_000
 # The file's splitter, for texts of ASCII and of Latin letters below U+0250 in lower case.
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids`, the array of each text's token ids. No exchange."""
     fields = [f for f in docs.schema.fields if f.name != "ids"]
     schema = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.select(*(f"`{f.name}`" for f in fields)).mapInArrow(lambda it: _encoded(it, path), schema)
+    return small_batches(docs).select(*(f"`{f.name}`" for f in fields)).mapInArrow(lambda it: _encoded(it, path), schema)
 
 
 def _decoded(batches, path: str):

@@ -34,6 +34,12 @@ def test_both_encoders_equal_the_library(text):
 LIBRARY = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000 + "x", "a" * 300_000, "é#" * 100_000])
+def test_very_long_runs(text):
+    assert bytebpe.encode(BYTES, text).tolist() == ids_of(LIBRARY[0], text)
+    assert wordbpe.bpe(WORDS).encode_batch([text])[0].tolist() == ids_of(LIBRARY[1], text)
+
+
 def test_latin_letters_equal_the_library(library):
     rng = random.Random(3)
     pool = [chr(c) for c in range(1, 0x250) if not 0xD800 <= c < 0xE000] + ["'s", "'LL", " ", "\n", "<|endoftext|>", "Σ"]
