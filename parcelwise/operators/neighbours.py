@@ -76,8 +76,14 @@ def knn_pairs(points: DataFrame, k: int = 50) -> DataFrame:
     return found.select(F.col("query_id").alias("point_id"), F.col("cand_id").alias("near_id"), "dist", "rank")
 
 
-def nearest_depot(centres: DataFrame, depots: DataFrame) -> DataFrame:
-    """label and the warehouse_id nearest to its centre (lat, lon), ties to the lowest id; depots are a handful."""
+def nearest_depot(centres: DataFrame, depots: DataFrame, most_seats: int = 1000) -> DataFrame:
+    """label and the warehouse_id nearest to its centre (lat, lon), ties to the lowest id.
+
+    Up to most_seats depots are broadcast and all compared; more go through the grid.
+    """
+    if depots.limit(most_seats + 1).count() > most_seats:
+        found = nearest(centres.select(F.col("label").alias("query_id"), "lat", "lon"), depots.select(F.col("warehouse_id").cast("long").alias("cand_id"), "lat", "lon"), 1)
+        return found.select(F.col("query_id").alias("label"), F.col("cand_id").cast("int").alias("warehouse_id"), "dist")
     seats = F.broadcast(depots.select("warehouse_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon")))
     met = centres.join(seats).withColumn("dist", degrees_apart("lat", "lon", "to_lat", "to_lon"))
     return met.groupBy("label").agg(F.min_by("warehouse_id", F.struct("dist", "warehouse_id")).alias("warehouse_id"), F.min("dist").alias("dist"))

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.operators.roads import refuse_large
 from parcelwise.session import dealt
 
 
@@ -26,7 +27,8 @@ class RoadGraph:
 
     @classmethod
     def collect(cls, nodes: DataFrame, edges: DataFrame) -> RoadGraph:
-        """From (node_id, lat, lon) and (start, end, duration). The graph of one planning area fits every task."""
+        """From (node_id, lat, lon) and (start, end, duration): the graph of one planning area, of a size that is checked."""
+        refuse_large(edges)
         n = nodes.select("node_id", "lat", "lon").toPandas().sort_values("node_id")
         e = edges.select("start", "end", "duration").toPandas()
         ids = n["node_id"].to_numpy(np.int64)

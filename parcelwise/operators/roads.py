@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from parcelwise.functions import geo
 from parcelwise.session import numbered
 
+MOST_EDGES = 30_000_000
+
 
 def box_filter(roads: DataFrame, min_lon: float, min_lat: float, max_lon: float, max_lat: float) -> DataFrame:
     """Roads of which some segment meets the box, whole.
@@ -113,12 +115,19 @@ def largest_component(start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return names[best]
 
 
+def refuse_large(edge_table: DataFrame, most: int = MOST_EDGES) -> None:
+    if (n := edge_table.count()) > most:
+        raise ValueError(f"{n} edges are more than a task can hold ({most}); plan a smaller area")
+
+
 def largest_scc(edge_table: DataFrame) -> DataFrame:
     """node_id of the largest strongly connected component.
 
     The two id columns of the road graph come to the driver: the planner broadcasts the
-    whole graph to every task anyway, so a graph that does not fit is out of its reach.
+    whole graph to every task anyway. A planning area spans 300 km at most, which bounds
+    it; a graph of over MOST_EDGES edges is refused.
     """
+    refuse_large(edge_table)
     ids = edge_table.select("start", "end").toPandas()
     if ids.empty:
         raise ValueError("the road graph has no edges")

@@ -36,7 +36,7 @@ def depot_reach(spark, sf_dir):
     net = network(spark, sf_dir)
     stops, own = snapped(spark, sf_dir, net), seats(spark, sf_dir, net)
     reached = paths.from_sources(own.select(F.col("node_id").alias("source")), net.graph)
-    offers = reached.join(F.broadcast(own.select("warehouse_id", F.col("node_id").alias("source"))), "source").select("warehouse_id", "node_id", F.round("duration", 6).alias("duration"))
+    offers = reached.join(own.select("warehouse_id", F.col("node_id").alias("source")), "source").select("warehouse_id", "node_id", F.round("duration", 6).alias("duration"))
     best = offers.groupBy("node_id").agg(F.min(F.struct("duration", "warehouse_id")).alias("best")).select("node_id", "best.*")
     served = stops.join(best, "node_id")
     return served.groupBy("warehouse_id").agg(F.count("*").alias("n_customers"), F.round(F.avg("duration"), 4).alias("mean_seconds"), F.round(F.max("duration"), 4).alias("most_seconds"))

@@ -133,6 +133,19 @@ def test_nearest_of_nothing(spark):
     assert neighbours.nearest(some.withColumnRenamed("cand_id", "query_id"), none.withColumnRenamed("query_id", "cand_id"), 1).count() == 0
 
 
+def test_nearest_depot_either_way(spark):
+    rng = random.Random(8)
+    depots = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(30)] + [(30, 0.5, 0.5), (31, 0.5, 0.5)], "warehouse_id int, lat double, lon double")
+    centres = spark.createDataFrame([(i, rng.random(), rng.random()) for i in range(40)] + [(40, 0.5, 0.5)], "label long, lat double, lon double")
+    few, many = ({r.label: r.warehouse_id for r in neighbours.nearest_depot(centres, depots, n).collect()} for n in (1000, 10))
+    assert few == many and few[40] == 30 and len(few) == 41
+
+
+def test_large_graphs_are_refused(spark):
+    with pytest.raises(ValueError, match="smaller area"):
+        roads.refuse_large(spark.range(3), 2)
+
+
 # ---- drive times
 
 
