@@ -35,7 +35,7 @@ from tokenizers import Tokenizer
 from parcelwise.llm.bytebpe import byte_letters
 from parcelwise.llm.common import by_blocks, renamed, small_batches
 
-MEMO = 400_000
+MEMO = 200_000
 # The file's splitter, for texts of ASCII and of Latin letters below U+0250 in lower case.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 LATIN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -99,7 +99,7 @@ class WordBpe:
                 if b + 1 == limit:
                     limit, a = a, self.split[a][1]
                     out = True if a == limit else None
-        if len(self.apart) > 4 * MEMO:
+        if len(self.apart) > 2 * MEMO:
             self.apart.clear()
         self.apart[key] = out
         return out
