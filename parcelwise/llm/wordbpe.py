@@ -36,6 +36,7 @@ from parcelwise.llm.bytebpe import byte_letters
 from parcelwise.llm.common import by_blocks, renamed, small_batches
 
 MEMO = 200_000
+WORD_BYTES = 1 << 20  # of text whose words are held at once
 # The file's splitter, for texts of ASCII and of Latin letters below U+0250 in lower case.
 ASCII_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\t-\r a-z0-9]+")
 LATIN_WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\t-\r \x85\xa0\p{L}\p{N}]+")
@@ -180,7 +181,7 @@ def _encoded(batches, path: str):
         flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
         return renamed(block, ids=pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)))
 
-    yield from by_blocks(batches, "text", one)
+    yield from by_blocks(batches, "text", one, WORD_BYTES)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
