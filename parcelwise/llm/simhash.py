@@ -19,7 +19,9 @@ same components, at most one link for each member. Memory is 8 bytes for each me
 A text without words, null included, has fingerprint zero and is linked like any other;
 fewer words than a shingle give one shingle; repeated rows share node and component.
 A null doc_id has a fingerprint and is in a component, but never names one unless all
-of its doc_ids are null. Other columns are ignored.
+of its doc_ids are null. Nodes are the fingerprints themselves: where a doc_id repeats
+with different texts, each row is in its own text's component, and two components may
+have the same least doc_id. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelwise.llm.common import by_blocks, small_batches
@@ -74,18 +76,19 @@ def fingerprint(text: str | None, words: int = 4) -> int:
 LOW = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _fingerprints(batches, words: int):
+def _fingerprints(batches, words: int, names: list[str]):
     def one(block: pa.RecordBatch) -> pa.RecordBatch:
         prints = np.array([fingerprint(t.as_py(), words) for t in block.column(1)], np.uint64)
-        return pa.RecordBatch.from_arrays([block.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "print"])
+        return pa.RecordBatch.from_arrays([block.column(0), pa.array(prints.view(np.int64)), *block.columns[2:]], names=names)
 
     yield from by_blocks(batches, "text", one)
 
 
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and print (the 64 bits as a signed long). No exchange."""
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(lambda it: _fingerprints(it, words), "doc_id long, print long")
+def fingerprints(docs: DataFrame, words: int = 4, **more: Column) -> DataFrame:
+    """doc_id, print (the 64 bits as a signed long) and the longs `more`. No exchange."""
+    names = ["doc_id", "print", *more]
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *(c.alias(n) for n, c in more.items()))
+    return rows.mapInArrow(lambda it: _fingerprints(it, words, names), ", ".join(f"{n} long" for n in names))
 
 
 def list_links(prints: np.ndarray, bits: int, least_shared: int) -> np.ndarray:
@@ -157,17 +160,40 @@ def near_links(nodes: DataFrame, bits: int = 4, pairwise: int = 16, wide: int =
     return index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _linked(it, bits, 8 - bits, pairwise), "a long, b long")
 
 
+def components(prints: DataFrame, bits: int) -> DataFrame:
+    """print, part (the least print reachable) and component_id (the part's least doc_id) of every print."""
+    nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
+    found = connected(near_links(nodes.select("print", F.col("print").alias("node")), bits), "simhash")
+    parts = nodes.join(found.withColumnRenamed("node", "print"), "print", "left").select("print", "least", F.coalesce("component", "print").alias("part"))
+    names = parts.groupBy("part").agg(F.min("least").alias("component_id"))
+    return parts.join(names, "part").select("print", "part", "component_id")
+
+
 def near_duplicates(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
     """doc_id, print and component_id (the least doc_id reachable) of every row."""
     prints = stored(fingerprints(docs, words), "prints")
-    nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("node")).where("node is not null"), "nodes")
-    found = connected(near_links(nodes, bits), "simhash")
-    mapped = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(mapped, "print", "left").select("doc_id", "print", "component_id")
+    return prints.join(components(prints, bits), "print", "left").select("doc_id", "print", "component_id")
+
+
+def firsts(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
+    """One row of each component: the first by doc_id, null ids last, then by text.
+
+    A component without any id keeps a row too, and where a doc_id repeats with texts
+    that are no near copies each of them stays. Rows equal in doc_id and text are one.
+    """
+    key = {"_k1": F.xxhash64("doc_id", "text"), "_k2": F.xxhash64(F.lit(1), "doc_id", "text")}
+    prints = stored(fingerprints(docs, words, **key), "prints")
+    first = prints.join(components(prints, bits), "print").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = stored(first.select("part", "_k1", "_k2").distinct(), "firsts")
+    several = stored(first.join(first.groupBy("part").count().where("count > 1"), "part", "left_semi"), "several")
+    keyed = docs.withColumns(key)
+    texts = keyed.select("_k1", "_k2", "text").join(several, ["_k1", "_k2"])
+    chosen = texts.groupBy("part").agg(F.min(F.struct(F.col("text"), F.col("_k1"), F.col("_k2"))).alias("s")).select("s._k1", "s._k2")
+    alone = first.join(several, "part", "left_anti").select("_k1", "_k2")
+    chosen = stored(alone.unionByName(chosen), "chosen")
+    return keyed.join(chosen, ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"]).select(*docs.columns)
 
 
 def kept(docs: DataFrame, bits: int = 4, words: int = 4) -> DataFrame:
-    """One row of each component: that of the least doc_id, the first by text where a doc_id repeats."""
-    firsts = near_duplicates(docs.where("doc_id is not null"), bits, words).where("doc_id = component_id").select("doc_id").distinct()
-    rows = docs.join(firsts, "doc_id", "left_semi").select(*docs.columns)
-    return rows.dropDuplicates(["doc_id"])
+    """The rows of `firsts` that have a doc_id: components without any id are left out."""
+    return firsts(docs, bits, words).where("doc_id is not null")

@@ -7,6 +7,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from parcelwise.llm import components, pqdedup, simhash
 
 
@@ -105,6 +106,19 @@ def test_near_duplicates(spark, odd_docs, odd_texts, no_docs):
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.kept(no_docs).count() == 0
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    text = lambda seed: " ".join(random.Random(seed).choices("ab cd ef gh ij kl mn op qr st uv wx yz".split(), k=60))
+    a, b, c, d, e = map(text, range(5))
+    rows = [(3, a), (1, b), (2, a), (3, b), (None, a), (None, c), (None, c), (7, d), (7, e), (7, e.upper()), (None, None)]
+    docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string")
+    got = {(r.doc_id, r.text) for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert got == {(2, a), (1, b), (None, c), (7, d), (7, e.upper()), (None, None)}
+    assert corpus_pipeline.near_dedup(spark, docs, "").count() == 6
+    named = {(r.doc_id, r.print % (1 << 64)): r.component_id for r in simhash.near_duplicates(docs).collect()}
+    assert named[3, simhash.fingerprint(a)] == 2 and named[3, simhash.fingerprint(b)] == 1
+    assert named[None, simhash.fingerprint(a)] == 2 and named[None, simhash.fingerprint(c)] is None
+
+
 # ---- embeddings
 
 
