@@ -1,7 +1,8 @@
 """Line-first quality rules, in DataFrame functions only.
 
 Every line with a word is judged alone: navigation (at least three `|`, or other menu
-separators, between short entries), boilerplate (set phrases of site furniture) and
+separators, between short entries), boilerplate (set phrases of site furniture: anywhere
+in the line, as the SQL has it, or with `short_furniture` as most of a short line) and
 punctuation (at least four of its non-space characters, and more than 30 of 100, are
 ASCII punctuation). Failing lines are removed; a document that loses more than
 half of its word characters is rejected, and so is one that fails the base rules.
@@ -25,6 +26,8 @@ SYMBOLS = r"[#*$%&|<>]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 PHRASES = ("cookie policy", "privacy policy", "terms of service", "terms of use", "click here", "read more", "sign up", "log in", "enable javascript", "subscribe to our newsletter", "skip to content", "share this")
 BOILERPLATE = "|".join(PHRASES)
+WHOLE_PHRASE = rf"(?<![\p{{L}}\p{{N}}_])(?:{BOILERPLATE})(?![\p{{L}}\p{{N}}_])"
+LONGEST_FURNITURE = 200
 MENU = r"^[^|»›•]{0,24}([|»›•][^|»›•]{0,24}){3,}$"
 MOST_PUNCTUATION, FEW_MARKS, MOST_LOST = 30, 4, 50
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
@@ -72,14 +75,32 @@ def solid_part(text: Column) -> Column:
     return F.regexp_replace(F.replace(text, F.lit(" "), F.lit("")), SPACE, "")
 
 
-def failed_line(line: Column) -> Column:
+def furniture(line: Column) -> Column:
+    """Whether a line holds a set phrase anywhere, the rule of the SQL."""
+    return F.rlike(F.lower(line), F.lit(BOILERPLATE))
+
+
+def short_furniture(line: Column) -> Column:
+    """Whether whole set phrases are more than half of the non-space characters of a short line."""
+
+    def most(low: Column) -> Column:
+        rest = F.length(solid_part(F.regexp_replace(low, WHOLE_PHRASE, "")))
+        return let(F.length(solid_part(low)), lambda n: (n <= LONGEST_FURNITURE) & (2 * rest < n))
+
+    return furniture(line) & let(F.lower(line), most)
+
+
+def failed_line(line: Column, boilerplate=furniture) -> Column:
     dense = lambda solid: let(F.length(solid) - F.length(F.regexp_replace(solid, PUNCTUATION, "")), lambda marks: (marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
     parted = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("›")) | F.contains(line, F.lit("•"))
-    return (parted & F.rlike(line, F.lit(MENU))) | F.rlike(F.lower(line), F.lit(BOILERPLATE)) | let(solid_part(line), dense)
+    return (parted & F.rlike(line, F.lit(MENU))) | boilerplate(line) | let(solid_part(line), dense)
 
 
-def judge(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines and clean_text."""
+def judge(docs: DataFrame, boilerplate=furniture) -> DataFrame:
+    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_bad_lines and clean_text.
+
+    `boilerplate` tells the lines that fail as site furniture.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
     solid = lambda c: F.length(solid_part(c)).cast("long")
     words = F.array_remove(F.split(text, SPACE), "")
@@ -87,7 +108,7 @@ def judge(docs: DataFrame) -> DataFrame:
     worded = F.filter(lines, lambda x: F.rlike(x, F.lit(WORD_CHAR)))
     counted = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.struct(F.size(h).cast("long").alias("n_words"), repeat_words(h).alias("n_repeat_words")))
     dups = let(F.transform(worded, lambda x: F.xxhash64(x)), lambda h: (F.size(h) - F.size(F.array_distinct(h))).cast("long"))
-    good = F.filter(lines, lambda x: ~failed_line(x))
+    good = F.filter(lines, lambda x: ~failed_line(x, boilerplate))
     found = F.struct(
         counted.alias("_words"),
         solid(text).alias("word_chars"),

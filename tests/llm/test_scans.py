@@ -4,6 +4,7 @@ import re
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from parcelwise.llm import licenses, quality, secretscan
 
 # ---- secrets
@@ -116,6 +117,19 @@ def test_lines(spark):
     assert got[1].n_bad_lines == 2 and not got[2].base_failed and not got[4].base_failed
 
 
+def test_phrases_inside_prose_cost_no_line(spark):
+    prose = " ".join(f"the boat{k} went by" for k in range(30))
+    hits = ["the catalog in the hall", "the spread more of it", "the design up there", "then read more of it", "a privacy policy ", "log in and sign up"]
+    furniture = ["Click here to read more", "Privacy Policy - Terms of Use", "LOG IN"]
+    texts = [f"{h} {prose} {h}" for h in hits] + ["\n".join([prose, h]) for h in hits[:3]] + ["\n".join([prose, x]) for x in furniture]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.quality_rules(spark, docs, "").collect()}
+    n = len(texts) - len(furniture)
+    assert got == {i: t if i < n else prose for i, t in enumerate(texts)}
+    found = quality.judge(docs, quality.short_furniture)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow|Exchange", found)
+
+
 def test_quality_runs_no_python(spark, odd_docs):
     plan = quality.judge(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
