@@ -3,34 +3,78 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_made: list[str] = []
+
+
+@cache
+def _own_folder() -> str:
+    path = tempfile.mkdtemp(prefix="parcelwise-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return "file://" + path
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which driver and executors share.
 
-    A temporary folder, gone with the process, serves only where the setting is absent,
-    as in local tests.
+def shared_base(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share.
+
+    Where the setting is absent a temporary folder, gone with the process, serves a
+    local master only; executors of any other master would each see another folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        own = tempfile.mkdtemp(prefix="parcelwise-")
-        atexit.register(shutil.rmtree, own, ignore_errors=True)
-        base = "file://" + own
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/parcelwise/{name}-{uuid.uuid4().hex}"
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that the driver and the executors of {master} share")
+    return _own_folder()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to shared storage and read back: it cuts lineage and survives lost executors."""
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder in shared storage; `released` removes those of a block."""
+    path = f"{shared_base(spark).rstrip('/')}/parcelwise/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def stored_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df, written once to shared storage and read back, and its folder."""
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to shared storage and read back: it cuts lineage and survives lost executors."""
+    return stored_at(df, name)[0]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of shared storage that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    if path in _made:
+        _made.remove(path)
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Removes at the end what the block has put in shared storage; results made from it must be written by then."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            discard(spark, path)
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
