@@ -29,6 +29,9 @@ BOILERPLATE = "|".join(PHRASES)
 WHOLE_PHRASE = rf"(?<![\p{{L}}\p{{N}}_])(?:{BOILERPLATE})(?![\p{{L}}\p{{N}}_])"
 LONGEST_FURNITURE = 200
 MENU = r"^[^|»›•]{0,24}([|»›•][^|»›•]{0,24}){3,}$"
+#: The same lines for java.util.regex, which matches a repeated group by recursion unless it is possessive,
+#: and so runs out of stack on long lines. An entry ends at the next separator, so nothing is to be taken back.
+MENU_WALK = r"^[^|»›•]{0,24}+(?:[|»›•][^|»›•]{0,24}+){3,}+\z"
 MOST_PUNCTUATION, FEW_MARKS, MOST_LOST = 30, 4, 50
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
 OWN = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_bad_lines")
@@ -93,7 +96,7 @@ def short_furniture(line: Column) -> Column:
 def failed_line(line: Column, boilerplate=furniture) -> Column:
     dense = lambda solid: let(F.length(solid) - F.length(F.regexp_replace(solid, PUNCTUATION, "")), lambda marks: (marks >= FEW_MARKS) & (100 * marks > MOST_PUNCTUATION * F.length(solid)))
     parted = F.contains(line, F.lit("|")) | F.contains(line, F.lit("»")) | F.contains(line, F.lit("›")) | F.contains(line, F.lit("•"))
-    return (parted & F.rlike(line, F.lit(MENU))) | boilerplate(line) | let(solid_part(line), dense)
+    return (parted & F.rlike(line, F.lit(MENU_WALK))) | boilerplate(line) | let(solid_part(line), dense)
 
 
 def judge(docs: DataFrame, boilerplate=furniture) -> DataFrame:
