@@ -22,6 +22,7 @@ from re import _parser
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -62,6 +63,8 @@ RULES = BASE + FURTHER
 
 ANY = ("any",)
 MOST_STRINGS = 64
+#: ASCII letters that ignoring case in Unicode also finds in letters beyond ASCII (dotted and dotless i, long s, Kelvin sign).
+FOLDED = "iIkKsS"
 
 
 def both(a: tuple, b: tuple) -> tuple:
@@ -83,22 +86,31 @@ def of_strings(strings: set[str]) -> tuple:
     return either(found)
 
 
-def _node(op, arg) -> tuple[set[str] | None, tuple]:
+def _letter(code: int, flags: int) -> set[str] | None:
+    """What a literal stands for, A-Z in lower case; None if it also matches characters that case folding adds to it."""
+    if flags & re.IGNORECASE and not flags & re.ASCII and (code >= 128 or chr(code) in FOLDED):
+        return None
+    return {chr(code).lower() if code < 128 else chr(code)}
+
+
+def _node(op, arg, flags: int) -> tuple[set[str] | None, tuple]:
     """(all strings that the node matches, if they are few; the query that its matches fulfil)."""
     if op is sre.LITERAL:
-        return {chr(arg).lower() if arg < 128 else chr(arg)}, ANY
+        return _letter(arg, flags), ANY
     if op is sre.IN and all(x is sre.LITERAL for x, _ in arg) and len(arg) <= 8:
-        return {chr(c).lower() if c < 128 else chr(c) for _, c in arg}, ANY
+        letters = [_letter(c, flags) for _, c in arg]
+        return None if None in letters else set().union(*letters), ANY
     if op is sre.SUBPATTERN:
-        return _sequence(arg[3])
+        _, add, remove, inner = arg
+        return _sequence(inner, (flags | add) & ~remove & ~(re.UNICODE if add & re.ASCII else re.ASCII if add & re.UNICODE else 0))
     if op is sre.BRANCH:
-        parts = [_sequence(x) for x in arg[1]]
+        parts = [_sequence(x, flags) for x in arg[1]]
         if all(s is not None for s, _ in parts):
             return set().union(*(s for s, _ in parts)), ANY
         return None, either([q if s is None else of_strings(s) for s, q in parts])
     if op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
         least, most, inner = arg
-        strings, query = _sequence(inner)
+        strings, query = _sequence(inner, flags)
         if (least, most) == (0, 1) and strings is not None:
             return strings | {""}, ANY
         if least and strings is not None:
@@ -111,10 +123,10 @@ def _node(op, arg) -> tuple[set[str] | None, tuple]:
     return None, ANY
 
 
-def _sequence(nodes) -> tuple[set[str] | None, tuple]:
+def _sequence(nodes, flags: int) -> tuple[set[str] | None, tuple]:
     held, query, whole = {""}, ANY, True
     for op, arg in nodes:
-        strings, need = _node(op, arg)
+        strings, need = _node(op, arg, flags)
         if strings is not None and len(held) * len(strings) <= MOST_STRINGS:
             held = {a + b for a in held for b in strings}
             continue
@@ -127,7 +139,8 @@ def _sequence(nodes) -> tuple[set[str] | None, tuple]:
 
 def trigram_query(pattern: str) -> tuple:
     """The Boolean trigram query of an expression, ANY if it has no mandatory trigram."""
-    strings, query = _sequence(_parser.parse(pattern))
+    parsed = _parser.parse(pattern)
+    strings, query = _sequence(parsed, parsed.state.flags)
     return of_strings(strings) if strings is not None else query
 
 
@@ -221,18 +234,37 @@ def digest(scanned: DataFrame) -> DataFrame:
     return scanned.select("doc_id", *(count(k).alias(f"n_{k}") for k in kinds), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
+    """text with each stretch that the spans (by start) cover replaced by mark."""
+    out, at = [], 0
+    for start, end in spans:
+        if start >= at:
+            out += [text[at:start], mark]
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
+def _redacted(batches, mark: str):
+    def one(block: pa.RecordBatch) -> pa.RecordBatch:
+        texts, spans = (block.column(block.schema.get_field_index(c)) for c in ("text", "spans"))
+        hit = np.flatnonzero(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
+        rest = block.drop_columns(["spans"])
+        if not len(hit):
+            return rest
+        done = texts.to_pylist()
+        for i in hit.tolist():
+            done[i] = without(done[i], [(s["start"], s["end"]) for s in spans[i].as_py()], mark)
+        at = rest.schema.get_field_index("text")
+        return rest.set_column(at, rest.schema.field(at), pa.array(done, texts.type))
+
+    yield from by_blocks(batches, "text", one)
+
+
 def redacted(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """scanned without `spans`, each stretch that spans cover in `text` replaced by `mark`; n_chars follows, if there."""
-    start = lambda a, s: a["at"] < s["start"]
-    text = F.col("text")
-    state = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-
-    def step(a, s):
-        gap = F.substring(text, (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int"))
-        first = (a["at"] == 0) & (s["start"] == 0)
-        done = F.when(start(a, s), F.concat(a["done"], gap, F.lit(mark))).when(first | (a["at"] == s["start"]), F.concat(a["done"], F.lit(mark))).otherwise(a["done"])
-        return F.struct(done.alias("done"), F.greatest(a["at"], s["end"]).alias("at"))
-
-    whole = F.aggregate("spans", state, step, lambda a: F.concat(a["done"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text))))
-    out = scanned.withColumn("text", F.when(F.size("spans") > 0, whole).otherwise(text)).drop("spans")
+    """scanned without `spans`, each stretch that spans cover in `text` replaced by `mark`; n_chars follows, if there.
+
+    Texts without spans stay as they are, null included. Time is linear in a text and its spans.
+    """
+    schema = T.StructType([f for f in scanned.schema.fields if f.name != "spans"])
+    out = small_batches(scanned).mapInArrow(lambda it: _redacted(it, mark), schema)
     return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
