@@ -4,9 +4,11 @@ Every rolling word k-gram of every text is hashed and joined, in Spark, to the k
 of the license templates (a fixed table, broadcast). A match votes for its text,
 template and diagonal, which is the gram's place in the text less its place in the
 template. Votes are counted by diagonal; neighbouring diagonals of a template (words put
-in or left out) are merged; spans whose grams' words were verified against the template
-are kept if they cover enough of it. A phrase template must be met in full on a single
-diagonal, so its spans are exactly the places where its words stand consecutively.
+in or left out) are merged; spans are kept if their grams, verified against the template
+by a second, independent 64-bit hash of their words, cover enough of it. A phrase template
+must be met in full on a single diagonal, so its spans are exactly the places where its
+words stand consecutively. Texts stay in the function that hashes them: only numbers reach
+the join, and time is linear in a text's words and places.
 
 Words are runs of ASCII letters and digits (A-Z lower-cased) and of non-ASCII
 characters. A null text counts as empty and has no words; repeated rows are scanned
@@ -16,6 +18,7 @@ each; a null doc_id is kept; an empty table gives nothing; other columns are ign
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -51,8 +54,9 @@ TEMPLATES = (
 SIZES = (2, 4)
 DOC = -1  # the gram that stands once for each text, so that texts without a match stay
 NEAR = 3  # diagonals this close together are one span
-GRAMS = "row long, doc_id long, text string, n_words long, starts array<int>, grams array<long>"
-MIX = np.uint64(0x9E3779B97F4A7C15)
+GRAMS = "row long, doc_id long, n_words long, grams array<struct<gram:long,check:long>>"
+MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+BASES = np.uint64(0x100000001B3), np.uint64(0x2545F4914F6CDD1D)
 POWERS = 1 << 16
 
 _WORD = np.zeros(256, bool)
@@ -61,13 +65,14 @@ _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
 
 
-def _powers() -> np.ndarray:
+@cache
+def _powers(which: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return np.cumprod(np.full(POWERS, np.uint64(0x100000001B3)), dtype=np.uint64)
+        return np.cumprod(np.full(POWERS, BASES[which]), dtype=np.uint64)
 
 
-def words_of(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, first byte, 64-bit hash) of every word of a block of texts."""
+def words_of(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(text, first byte, two 64-bit hashes) of every word of a block of texts."""
     low = _LOW[raw]
     inside = _WORD[low]
     begins = inside.copy()
@@ -76,69 +81,61 @@ def words_of(offs: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begins[firsts] = inside[firsts]
     starts = np.flatnonzero(begins)
     if not len(starts):
-        return starts, starts, starts.astype(np.uint64)
-    place = np.arange(len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw)))) if starts[0] == 0 else np.concatenate([np.zeros(starts[0], np.int64), np.arange(starts[0], len(raw)) - np.repeat(starts, np.diff(np.append(starts, len(raw))))])
+        return starts, starts, (starts.astype(np.uint64),) * 2
+    place = np.arange(len(raw)) - np.repeat(np.append(0, starts), np.diff(np.concatenate([[0], starts, [len(raw)]])))
+    hashes = []
     with np.errstate(over="ignore"):
-        hashes = np.add.reduceat(np.where(inside, _powers_table()[place & (POWERS - 1)] * (low + np.uint64(1)), np.uint64(0)), starts)
-        hashes = (hashes ^ hashes >> np.uint64(29)) * MIX
-    return np.searchsorted(offs, starts, "right") - 1, starts, hashes ^ hashes >> np.uint64(32)
+        for which, mix in enumerate(MIX):
+            h = np.add.reduceat(np.where(inside, _powers(which)[place & (POWERS - 1)] * (low + np.uint64(1)), np.uint64(0)), starts)
+            h = (h ^ h >> np.uint64(29)) * mix
+            hashes.append(h ^ h >> np.uint64(32))
+    return np.searchsorted(offs, starts, "right") - 1, starts, tuple(hashes)
 
 
-_table: list[np.ndarray] = []
-
-
-def _powers_table() -> np.ndarray:
-    if not _table:
-        _table.append(_powers())
-    return _table[0]
-
-
-def grams_of(text: np.ndarray, hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(text, hash) of every run of k words within one text."""
-    n = max(0, len(hashes) - k + 1)
-    out = np.full(n, k, np.uint64)
-    with np.errstate(over="ignore"):
-        for j in range(k):
-            out = (out ^ hashes[j : j + n]) * MIX
-            out ^= out >> np.uint64(31)
+def grams_of(text: np.ndarray, hashes: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """(text, two hashes) of every run of k words within one text."""
+    n = max(0, len(text) - k + 1)
     whole = text[:n] == text[k - 1 :][:n]
-    return text[:n][whole], out[whole].view(np.int64)
+    out = []
+    with np.errstate(over="ignore"):
+        for words, mix in zip(hashes, MIX, strict=True):
+            h = np.full(n, k, np.uint64)
+            for j in range(k):
+                h = (h ^ words[j : j + n]) * mix
+                h ^= h >> np.uint64(31)
+            out.append(h[whole].view(np.int64))
+    return text[:n][whole], tuple(out)
 
 
 def _grams(batches):
     part, row = TaskContext.get().partitionId() << 40, 0
-    names = [x.split()[0] for x in GRAMS.replace(", ", ",").split(",")]
+    names = ["row", "doc_id", "n_words", "grams"]
 
     def one(block: pa.RecordBatch) -> pa.RecordBatch:
         nonlocal row
-        texts = block.column(1)
-        offs, raw = text_buffers(texts)
-        text, starts, hashes = words_of(offs, raw)
-        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        text, _, hashes = words_of(*text_buffers(block.column(1)))
         n_words = np.bincount(text, minlength=len(block))
-        bounds = np.concatenate([[0], np.cumsum(n_words)]).astype(np.int32)
-        at = (points[starts] - points[offs[text]]).astype(np.int32)
         parts = [grams_of(text, hashes, k) for k in SIZES]
         owner = np.concatenate([np.arange(len(block)), *(p[0] for p in parts)])
-        values = np.concatenate([np.full(len(block), DOC, np.int64), *(p[1] for p in parts)])
         order = np.argsort(owner, kind="stable")
+        values = [pa.array(np.concatenate([np.full(len(block), DOC, np.int64), *(p[1][i] for p in parts)])[order]) for i in range(2)]
         ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(block)))]).astype(np.int32)
         rows = np.arange(part + row, part + row + len(block))
         row += len(block)
-        return pa.RecordBatch.from_arrays([pa.array(rows), block.column(0), texts, pa.array(n_words.astype(np.int64)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(at)), pa.ListArray.from_arrays(pa.array(ends), pa.array(values[order]))], names=names)
+        grams = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(values, ["gram", "check"]))
+        return pa.RecordBatch.from_arrays([pa.array(rows), block.column(0), pa.array(n_words.astype(np.int64)), grams], names=names)
 
     yield from by_blocks(batches, "text", one)
 
 
 def template_grams(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(gram, template, k, place, words): one row for each gram of each template, and one for DOC."""
-    rows = [(DOC, -1, 0, 0, "")]
+    """(gram, check, template, k, place): one row for each gram of each template, and one for DOC."""
+    rows = [(DOC, DOC, -1, 0, 0)]
     for number, t in enumerate(templates):
         raw = np.frombuffer(t.text.encode(), np.uint8)
         text, _, hashes = words_of(np.array([0, len(raw)]), raw)
-        words = t.text.split()
-        rows += [(int(h), number, t.k, i, " ".join(words[i : i + t.k])) for i, h in enumerate(grams_of(text, hashes, t.k)[1])]
-    return spark.createDataFrame(rows, "gram long, template int, k int, place int, words string")
+        rows += [(int(h), int(c), number, t.k, i) for i, (h, c) in enumerate(zip(*grams_of(text, hashes, t.k)[1], strict=True))]
+    return spark.createDataFrame(rows, "gram long, check long, template int, k int, place int")
 
 
 def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFrame:
@@ -149,15 +146,13 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     spark = docs.sparkSession
     if {t.k for t in templates} - set(SIZES):
         raise ValueError(f"templates' gram sizes are {SIZES}")
-    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     table = F.broadcast(template_grams(spark, templates))
-    grams = rows.mapInArrow(_grams, GRAMS).select("row", "doc_id", "text", "n_words", "starts", F.posexplode("grams").alias("at", "gram"))
+    grams = rows.mapInArrow(_grams, GRAMS).select("row", "doc_id", "n_words", F.posexplode("grams").alias("at", "g"))
     short, first = SIZES[0], F.col("at") - 1
     word = F.when(F.col("k") == short, first).otherwise(first - F.greatest(F.col("n_words") - (short - 1), F.lit(0))).cast("int")
-    hits = grams.join(table, "gram").withColumn("word", word)
-    stretch = F.substring("text", F.get("starts", F.col("word")) + 1, F.coalesce(F.get("starts", F.col("word") + F.col("k")), F.length("text")) - F.get("starts", F.col("word")))
-    said = F.trim(F.regexp_replace(F.translate(stretch, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))
-    hits = hits.where((F.col("template") < 0) | (said == F.col("words")))
+    verified = F.col("check").bitwiseXOR(F.col("said")) == 0  # no equality, so that the join's key stays a single long
+    hits = grams.select("row", "doc_id", "n_words", "at", "g.gram", F.col("g.check").alias("said")).join(table, "gram").where(verified).withColumn("word", word)
     votes = hits.groupBy("row", "doc_id", "n_words", "template", (F.col("word") - F.col("place")).alias("diagonal"))
     votes = votes.agg(F.count("*").alias("votes"), F.min("word").alias("first"), F.max(F.col("word") + F.col("k")).alias("end"))
     by = Window.partitionBy("row", "template").orderBy("diagonal")

@@ -1,6 +1,9 @@
 import hashlib
 import re
+import time
 
+import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -74,6 +77,38 @@ def test_scan_and_redaction(spark, odd_docs, odd_texts, no_docs):
     assert secretscan.scan(no_docs).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("pattern", "needs"),
+    [(r"(?i)token[0-9]{4}", set()), (r"(?i)abcd", {b"abc", b"bcd"}), (r"(?i)héllo", {b"llo"}), (r"(?ai)token", {b"tok", b"oke", b"ken"}), (r"(?i:x)abc(?ai:kiss)", {b"xab", b"abc", b"bck", b"cki", b"kis", b"iss"}), (r"abc(?i:[sk])def", {b"abc", b"def"})],
+)
+def test_queries_of_rules_that_ignore_case(pattern, needs):
+    query = secretscan.trigram_query(pattern)
+    assert secretscan.trigrams_of(query) == needs and (query == secretscan.ANY) == (not needs)
+
+
+def test_case_beyond_ascii_is_found():
+    rules = (secretscan.Rule("unicode", r"(?i)token[0-9]{4}"), secretscan.Rule("ascii", r"(?ai)token[0-9]{4}"))
+    found = secretscan.Scanner(rules).scan(pa.array(["to\u212aen1234", "TOKEN1234", "tok"]))
+    assert found == [[("unicode", 0, 9)], [("unicode", 0, 9), ("ascii", 0, 9)], []]
+
+
+def took(f):
+    began = time.perf_counter()
+    f()
+    return time.perf_counter() - began
+
+
+def test_redaction_is_linear(spark):
+    text = "token=abcdefgh12 é "
+    spans = [(i * len(text), i * len(text) + 16) for i in range(64_000)]
+    assert secretscan.without(text * 3, spans[:3], "[x]") == "[x] é " * 3
+    few, many = (took(lambda n=n: secretscan.without(text * n, spans[:n], "[x]")) for n in (16_000, 64_000))
+    assert many < 8 * few + 0.5
+    docs = spark.createDataFrame([(1, text * 20_000, "a"), (2, None, "b"), (3, "clean", "c")], "doc_id long, text string, n_chars string")
+    got = {r.doc_id: (r.text, r.n_chars) for r in secretscan.redacted(secretscan.scan(docs)).collect()}
+    assert got == {1: ("[secret] é " * 20_000, str(11 * 20_000)), 2: (None, None), 3: ("clean", "5")}
+
+
 # ---- quality
 
 
@@ -175,3 +210,50 @@ def test_words_survive_block_borders():
     raw = np.frombuffer("ab cdéf-gh".encode(), np.uint8)
     text, starts, _ = licenses.words_of(np.array([0, 2, 2, 5, len(raw)]), raw)
     assert text.tolist() == [0, 2, 3, 3] and starts.tolist() == [0, 3, 5, 9]
+
+
+def test_many_places_take_linear_time(spark):
+    def places(n):
+        docs = spark.createDataFrame([(1, "cc by ü " * n)], "doc_id long, text string")
+        r = licenses.digest(licenses.scan(docs)).first()
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (3 * n, n, 0, 3 * n - 3)
+
+    places(100)
+    few, many = (took(lambda n=n: places(n)) for n in (20_000, 80_000))
+    assert many < 5 * few + 1
+
+
+def test_a_gram_is_verified_by_its_second_hash(spark, monkeypatch):
+    """With a first hash that maps all words alike, only the second one tells phrases from other words."""
+    monkeypatch.setattr(licenses, "MIX", (np.uint64(0), licenses.MIX[1]))
+    docs = [(1, "other words than those of the phrases"), (2, "all rights reserved cc by")]
+    raw = "".join(t for _, t in docs).encode()
+    offs = np.cumsum([0, *(len(t.encode()) for _, t in docs)])
+    text, _, hashes = licenses.words_of(offs, np.frombuffer(raw, np.uint8))
+    _, (first, check) = licenses.grams_of(text, hashes, 2)
+    assert len(np.unique(first)) == 1 and len(np.unique(check)) == len(check)
+
+
+# ---- long lines
+
+
+@pytest.mark.parametrize("part", ["a|", "|", "»", "b›", "• ", " ", "!", "word ", "read more ", "é|\r", "x" * 24 + "|", "x" * 25 + "|"])
+def test_very_long_lines(spark, part):
+    n = 1_000_000 // len(part) * (1 if len(part) > 2 else 2) if part != "read more " else 50_000
+    docs = spark.createDataFrame([(1, part * n), (2, "fine\n" + part * n + "\nfine")], "doc_id long, text string")
+    for boilerplate in (quality.furniture, quality.short_furniture):
+        rows = {r.doc_id: r for r in quality.judge(docs, boilerplate).select("doc_id", "n_bad_lines", "clean_text", "n_symbols").collect()}
+        line = part * n
+        menu = re.fullmatch(r"(?:[^|»›•]{0,24}(?:[|»›•]|\Z)){4,}", line) is not None and not re.search(r"[^|»›•]{25}", line)
+        solid = re.sub(r"[\x20\x09-\x0D]", "", line)
+        marks = len(re.findall(quality.PUNCTUATION, solid))
+        bad = menu or (boilerplate is quality.furniture and part == "read more ") or (marks >= 4 and 100 * marks > 30 * len(solid))
+        assert rows[1].n_bad_lines == bad and rows[1].clean_text == ("" if bad else line)
+        assert rows[2].clean_text == ("fine\nfine" if bad else f"fine\n{line}\nfine")
+
+
+@pytest.mark.parametrize("line", ["a|b|c|d", "a|b|c", "|||", "a|b|c|" + "d" * 24, "a|b|c|" + "d" * 25, "d" * 25 + "|b|c|d", "a|b|c|" + "d" * 24 + "\r", "a|b|c|" + "d" * 23 + "\r", "a|b|c|" + "d" * 24 + "\u2028", "a »b ›c •d", "🙂" * 24 + "|b|c|d", "🙂" * 25 + "|b|c|d", ""])
+def test_menus_are_those_of_the_sql(spark, line):
+    want = duckdb.execute(f"select regexp_matches(?, '{quality.MENU}')", [line]).fetchone()[0]
+    got = spark.createDataFrame([(line,)], "x string").selectExpr(f"rlike(x, r'{quality.MENU_WALK}') as bad").first().bad
+    assert got == want
