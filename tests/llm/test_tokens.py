@@ -3,6 +3,7 @@ import sys
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -88,6 +89,44 @@ def test_elias_fano_round_trip(values):
         seq.select(len(values))
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 1 << 40), min_size=1, max_size=1500), st.integers(0, 1500), st.integers(0, 1500))
+def test_a_walk_gives_any_stretch(values, a, b):
+    values = np.sort(np.array(values, np.uint64))
+    a, b = sorted((a % len(values), b % (len(values) + 1)))
+    seq = tokenfile.EliasFano.build(values)
+    assert seq.values(a, b).tolist() == values[a:b].tolist()
+
+
+def test_reading_never_decodes_a_sequence_whole(tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile.EliasFano, "decode", None)
+    walked = []
+    walk = tokenfile.EliasFano.values
+    monkeypatch.setattr(tokenfile.EliasFano, "values", lambda self, a, b: walked.append(b - a) or walk(self, a, b))
+    writer = tokenfile.ShardWriter(f"file://{tmp_path}/x", 2)
+    docs, rng = pa.array([None] * 5 + list(range(-10, 2000)), pa.int64()), np.random.default_rng(0)
+    ids = [rng.integers(0, 1 << 16, n, np.uint32) for n in rng.integers(1, 40, len(docs))]
+    ids[7] = np.arange(5000, dtype=np.uint32)
+    for i in range(0, len(docs), 300):
+        writer.add(docs.slice(i, 300), ids[i : i + 300])
+    path, first, n_docs, n_tokens, n_null = writer.close()
+    assert (first, n_docs, n_tokens, n_null) == (-10, len(docs), sum(map(len, ids)), 5)
+    batch = pa.RecordBatch.from_arrays([pa.array([path]), pa.array([100])], names=["path", "start"])
+    found = pa.Table.from_batches(tokenfile._read([batch], 1000))
+    assert found.column("doc_id").to_pylist() == docs.to_pylist()
+    assert [np.frombuffer(x, "<u4").tolist() for x in found.column("ids").to_pylist()] == [x.tolist() for x in ids]
+    assert found.column("start").to_pylist() == (100 + np.cumsum([0, *map(len, ids)])[:-1]).tolist()
+    assert max(walked) < 300
+
+
+def test_many_empty_documents(spark, tmp_path):
+    docs = spark.range(30_000).select(F.col("id").alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    made = tokenfile.write_tokens(docs, BYTES, 0, f"file://{tmp_path}/m", shard_docs=4000)
+    assert sum(m["n_docs"] for m in made) == 30_000 and max(m["n_docs"] for m in made) < 15_000
+    got = tokenfile.read_tokens(spark, made)
+    assert got.where("start <> doc_id or n_tokens <> 1").count() == 0 and got.count() == 30_000
+
+
 def test_elias_fano_is_small():
     values = np.cumsum(np.random.default_rng(0).integers(1, 2000, 100_000)).astype(np.uint64)
     _, body = tokenfile.EliasFano.build(values).parts()
