@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.session import stored
+from parcelwise.session import discard, stored_at
 
 
-
-def connected(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame, name: str) -> DataFrame:
     """(node, component) for every node in links (a, b): component is the least node reachable.
 
     Each round joins every node's larger neighbours to its least one, then its smaller
     neighbours to the least of them, until nothing changes; paths shorten to their
     logarithm. Minima are pre-aggregated, and a node with very many neighbours only
     meets its minimum in a join that adaptive execution can split. Rounds are stored in
-    shared storage; only a count and a checksum reach the driver.
+    shared storage, the one before being removed; only a count and a checksum reach the
+    driver. Rounds end when a round changes nothing, however many that takes.
     """
     spark = links.sparkSession
-    edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{name}-links")
+    edges, path = stored_at(links.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), f"{name}-links")
     seen = None
-    for _ in range(most_rounds):
+    while True:
         mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("hi", "lo").cast("decimal(20,0)")).alias("s")).first()
         if tuple(mark) == seen or not mark["n"]:
             break
@@ -32,7 +32,6 @@ def connected(links: DataFrame, name: str, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         joined = large.join(least, "hi")
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
-        edges = stored(small, f"{name}-stars")
-    else:
-        raise RuntimeError("components did not settle")
+        before, (edges, path) = path, stored_at(small, f"{name}-stars")
+        discard(spark, before)
     return edges.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())

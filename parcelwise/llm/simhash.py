@@ -7,14 +7,18 @@ single byte would hold a 256th of the corpus; instead the index is keyed by thos
 triples of positions (with their bytes) of which any four positions contain one, so
 that every pair with four shared bytes meets in a list, and lists are 2^24 times
 shorter than the corpus. Over `WIDE` distinct fingerprints the keys are all 70 fours of
-positions, which gives the same links from lists 2^32 times shorter. Pairs that meet are tallied over all eight positions, those
-with fewer than the guaranteed four shared bytes dropped, the rest verified by their
-differing bits.
+positions, which gives the same links from lists 2^32 times shorter. The positional
+bytes of pairs that meet are tallied, those with fewer than the guaranteed four shared
+ones dropped, and only the rest verified by their differing bits.
 
 Equal fingerprints are one node. In a list longer than `pairwise` the members are not
 paired with each other: a breadth-first search takes one member after another and
 removes what it links from the members left, which gives a spanning forest of the very
-same components, at most one link for each member. Memory is 8 bytes for each member.
+same components, at most one link for each member. A triple's list longer than `longest`
+is not held: its task passes the members on, each to the five lists of the triple and one
+position more, as a pair with four shared bytes shares one of those; they are dealt anew.
+What a task holds of a list is therefore bounded by `longest` members, or by the prints
+that have four bytes in common.
 
 A text without words, null included, has fingerprint zero and is linked like any other;
 fewer words than a shingle give one shingle; repeated rows share node and component.
@@ -41,6 +45,7 @@ from parcelwise.session import stored
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 WIDE = 1 << 26
+LONGEST = 1 << 14
 SHINGLES = 1 << 18  # hashes whose bits are counted at once
 SEED = 42
 
@@ -91,6 +96,19 @@ def fingerprints(docs: DataFrame, words: int = 4, **more: Column) -> DataFrame:
     return rows.mapInArrow(lambda it: _fingerprints(it, words, names), ", ".join(f"{n} long" for n in names))
 
 
+def tally(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By pair, how many of the eight positional bytes are shared."""
+    x, y = (np.ascontiguousarray(v).view(np.uint8).reshape(-1, 8) for v in np.broadcast_arrays(a, b))
+    return (x == y).sum(1)
+
+
+def verified(a: np.ndarray, b: np.ndarray, bits: int, least_shared: int) -> np.ndarray:
+    """The numbers of the pairs that reach the least count of shared bytes and then differ in at most `bits` bits."""
+    a, b = np.broadcast_arrays(a, b)
+    passed = np.flatnonzero(tally(a, b) >= least_shared)
+    return passed[np.bitwise_count(a[passed] ^ b[passed]) <= bits]
+
+
 def list_links(prints: np.ndarray, bits: int, least_shared: int) -> np.ndarray:
     """Links (i, j) that span the components of one posting list."""
     left, found = np.arange(len(prints)), []
@@ -98,66 +116,100 @@ def list_links(prints: np.ndarray, bits: int, least_shared: int) -> np.ndarray:
         queue, left = [left[0]], left[1:]
         while queue and len(left):
             i = queue.pop()
-            other = prints[left] ^ prints[i]
-            shared = (other.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-            near = (shared >= least_shared) & (np.bitwise_count(other) <= bits)
-            if near.any():
+            near = verified(prints[left], prints[i], bits, least_shared)
+            if len(near):
                 found += [(i, j) for j in left[near]]
                 queue += left[near].tolist()
-                left = left[~near]
+                left = np.delete(left, near)
     return np.array(found, np.int64).reshape(-1, 2)
 
 
-def _linked(batches, bits: int, least_shared: int, pairwise: int):
-    """Links within runs of equal keys of a sorted stream of (key, print, node)."""
+def _linked(batches, bits: int, least_shared: int, pairwise: int, longest: int | None):
+    """Links within runs of equal keys of a sorted stream of (key, print, node), and the members of runs over `longest`."""
+    names = [x.split()[0] for x in FOUND.split(", ")]
 
     def links(key, prints, nodes):
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
         sizes = np.diff(edge)
+        late = sizes > longest if longest else np.zeros(len(sizes), bool)
+        if late.any():
+            rows = np.repeat(late, sizes)
+            yield passed_on(key[rows], prints[rows], nodes[rows])
         a, b = [], []
         for n in np.unique(sizes[(sizes > 1) & (sizes <= pairwise)]):  # all short lists of one length together
             rows = edge[:-1][sizes == n][:, None]
             for i, j in combinations(range(int(n)), 2):
                 a.append((rows + i).ravel())
                 b.append((rows + j).ravel())
-        for start, n in zip(edge[:-1][sizes > pairwise], sizes[sizes > pairwise], strict=True):
+        for start, n in zip(edge[:-1][(sizes > pairwise) & ~late], sizes[(sizes > pairwise) & ~late], strict=True):
             pairs = list_links(prints[start : start + n], bits, least_shared) + start
             a.append(pairs[:, 0])
             b.append(pairs[:, 1])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        other = prints[a] ^ prints[b]
-        shared = (other.view(np.uint8).reshape(-1, 8) == 0).sum(1)
-        near = (shared >= least_shared) & (np.bitwise_count(other) <= bits)
-        return pa.RecordBatch.from_arrays([pa.array(nodes[a[near]]), pa.array(nodes[b[near]])], names=["a", "b"])
+        near = verified(prints[a], prints[b], bits, least_shared)
+        none = pa.nulls(len(near), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[a[near]]), pa.array(nodes[b[near]]), none, none], names=names)
+
+    def passed_on(key, prints, nodes):
+        return pa.RecordBatch.from_arrays([pa.array(nodes), pa.nulls(len(nodes), pa.int64()), pa.array(key), pa.array(prints.view(np.int64))], names=names)
 
-    held = None
+    held, gone = None, None
     for batch in batches:
         now = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+        if gone is not None:  # the list whose members are passed on may go on
+            n = int(np.searchsorted(now[0], gone, "right"))
+            yield passed_on(*(x[:n] for x in now))
+            now = [x[n:] for x in now]
+            gone = gone if not len(now[0]) else None
         held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
         cut = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0  # the last list may go on
         if cut:
-            yield links(*(x[:cut] for x in held))
+            yield from links(*(x[:cut] for x in held))
             held = [x[cut:] for x in held]
+        if longest and len(held[0]) > longest:
+            gone = held[0][0]
+            yield passed_on(*held)
+            held = None
     if held is not None and len(held[0]):
-        yield links(*held)
+        yield from links(*held)
+
+
+FOUND = "a long, b long, key long, print long"
+
+
+def _matched(index: DataFrame, bits: int, pairwise: int, longest: int | None) -> DataFrame:
+    """Links and members passed on of an index (key, print, node)."""
+    dealt = index.repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(lambda it: _linked(it, bits, 8 - bits, pairwise, longest), FOUND)
+
+
+def _byte(place) -> Column:
+    return F.call_function("shiftrightunsigned", F.col("print"), F.lit(8) * place).bitwiseAND(F.lit(255))
 
 
-def near_links(nodes: DataFrame, bits: int = 4, pairwise: int = 16, wide: int = WIDE) -> DataFrame:
+def near_links(nodes: DataFrame, bits: int = 4, pairwise: int = 16, wide: int = WIDE, longest: int = LONGEST) -> DataFrame:
     """Links (a, b) between nodes (node, print) with different prints of at most `bits` differing bits.
 
     Not every such pair is listed, but the links' components are those of all pairs.
     """
     if not 0 <= bits <= 4:
         raise ValueError("the index guarantees shared bytes for 4 bits at most")
+    triples, few = position_triples(), nodes.count() <= wide
     keys = []
-    places_of = position_triples() if nodes.count() <= wide else combinations(range(8), 8 - bits)
-    for k, places in enumerate(places_of):
+    for k, places in enumerate(triples if few else combinations(range(8), 8 - bits)):
         part = F.lit(k).cast("long")
         for p in places:
-            part = F.shiftleft(part, 8).bitwiseOR(F.shiftrightunsigned("print", 8 * p).bitwiseAND(F.lit(255)))
+            part = F.shiftleft(part, 8).bitwiseOR(_byte(F.lit(p)))
         keys.append(part)
     index = nodes.select(F.explode(F.array(*keys)).alias("key"), "print", "node")
-    return index.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _linked(it, bits, 8 - bits, pairwise), "a long, b long")
+    if not few:
+        return _matched(index, bits, pairwise, None).select("a", "b")
+    found = stored(_matched(index, bits, pairwise, longest), "matched")
+    others = F.array(*[F.array(*[F.lit(p) for p in range(8) if p not in t]) for t in triples])
+    late = found.where("key is not null").select("key", "print", F.col("a").alias("node"), F.explode(F.get(others, F.shiftright("key", 24).cast("int"))).alias("place"))
+    finer = F.shiftleft(F.shiftleft("key", 3).bitwiseOR(F.col("place")), 8).bitwiseOR(_byte(F.col("place")))
+    more = _matched(late.select(finer.alias("key"), "print", "node"), bits, pairwise, None)
+    return found.where("key is null").unionByName(more).select("a", "b")
 
 
 def components(prints: DataFrame, bits: int) -> DataFrame:
