@@ -92,6 +92,7 @@ class LanguageModel:
                 p, q = share[on].mean(0), share[off].mean(0)
                 weights[:BUCKETS, b] = np.log(p / q)
                 trust[b] = ((p - q) * np.log(p / q)).sum()
+        trust = trust if trust.any() else np.ones(code.shape[1])  # languages that no bit tells apart
         return cls(langs, code, weights, trust / trust.sum())
 
     def margins(self, texts: pa.Array) -> np.ndarray:
@@ -133,14 +134,15 @@ def fit(labelled: DataFrame, rows_per_lang: int = 1000) -> LanguageModel:
 
     `rows_per_lang` bounds the sample: rows whose hash falls below the share that makes
     about that many of each language, at most twice that many for all together. The
-    driver gets their summed trigram counts, BUCKETS rows a language at most.
+    driver gets their summed trigram counts, BUCKETS rows a language at most. A row is
+    drawn by the hash of its id and text, so rows without an id are drawn one by one.
     """
     known = labelled.where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return LanguageModel.from_counts({})
     share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, float(min(1.0, rows_per_lang / n)))])
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit("language")), F.lit(1 << 20)) / float(1 << 20)
     some = known.where(draw < share[F.col("lang")]).select("text", "lang", "doc_id").limit(2 * rows_per_lang * len(sizes))
     made = small_batches(some).select("text", "lang").mapInArrow(_counted, "lang string, bucket long, n long")
     summed = made.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()

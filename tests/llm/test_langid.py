@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -72,3 +74,63 @@ def test_mixed_text_is_ambiguous():
     model = langid.LanguageModel.from_counts(counts)
     _, score, ambiguous = model.predict(pa.array(["aaaa bbbb", "aaaaaaaa"]))
     assert ambiguous[0] and score[0] < 0.6 < score[1]
+
+
+def plain_model(rows):
+    """Error-correcting output codes in plain Python: by language the counts of hashed trigrams, by bit the log ratios."""
+    counts = {}
+    for text, lang in rows:
+        counts.setdefault(lang, Counter()).update(plain_codes(text))
+    langs = sorted(counts)
+    words = [[1 if split << 1 >> i & 1 else -1 for split in range(1, 1 << (len(langs) - 1))] for i in range(len(langs))]
+    total = [sum(counts[x].values()) + 0.5 * langid.BUCKETS for x in langs]
+    share = lambda i, code: (counts[langs[i]][code] + 0.5) / total[i]
+    sides = lambda b, sign: [i for i in range(len(langs)) if words[i][b] == sign]
+    mean = lambda own, code: sum(share(i, code) for i in own) / len(own)
+    ratio = lambda b, code: math.log(mean(sides(b, 1), code) / mean(sides(b, -1), code))
+    seen = set().union(*counts.values())
+    trust = []
+    for b in range(len(words[0])):
+        each = [(mean(sides(b, 1), c) - mean(sides(b, -1), c)) * ratio(b, c) for c in seen]
+        p, q = (mean(sides(b, s), -1) for s in (1, -1))
+        trust.append(sum(each) + (langid.BUCKETS - len(seen)) * (p - q) * math.log(p / q))
+    return langs, words, ratio, [t / sum(trust) for t in trust]
+
+
+def plain_codes(text):
+    raw = f" {text.lower()} ".encode()
+    return [((raw[i] << 16 | raw[i + 1] << 8 | raw[i + 2]) * 2654435761 % (1 << 32)) >> 16 for i in range(len(raw) - 2)]
+
+
+def plain_prediction(model, text):
+    langs, words, ratio, trust = model
+    codes = plain_codes(text)
+    margins = [sum(ratio(b, c) for c in codes) / math.sqrt(len(codes)) for b in range(len(trust))]
+    loss = [sum(t * math.log1p(math.exp(-m * w)) if -m * w < 500 else t * -m * w for t, m, w in zip(trust, margins, word, strict=True)) for word in words]
+    return langs[loss.index(min(loss))], 1 / sum(math.exp(min(loss) - x) for x in loss)
+
+
+def test_predictions_equal_plain_output_codes(spark):
+    rows = labelled(spark)
+    model = langid.fit(rows)
+    plain = plain_model([(r.text, r.lang) for r in rows.collect()])
+    rng = random.Random(4)
+    texts = [sentence(rng, lang, n) for lang in SAMPLES for n in (1, 3, 20)] + ["the die les", "x", "Über ÉTÉ Ωmega", "zzz 12 qq"]
+    names, score, ambiguous = model.predict(pa.array(texts))
+    for text, name, s, unsure in zip(texts, names.to_pylist(), score.tolist(), ambiguous.tolist(), strict=True):
+        lang, want = plain_prediction(plain, text)
+        assert name == lang and abs(s - want) < 1e-4 and (unsure == (want < 0.75) or abs(want - 0.75) < 1e-3)
+
+
+def test_ties_go_to_the_first_language():
+    counts = {k: np.full(langid.BUCKETS, 3, np.int64) for k in ("b", "a", "c")}
+    names, score, ambiguous = langid.LanguageModel.from_counts(counts).predict(pa.array(["some text", "12"]))
+    assert names.to_pylist() == ["a", "und"] and abs(score[0] - 1 / 3) < 1e-9 and ambiguous.tolist() == [True, False]
+
+
+def test_rows_without_an_id_are_drawn_one_by_one(spark):
+    rng = random.Random(2)
+    rows = [(None, sentence(rng, lang), lang) for lang in ("en", "de") for _ in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, rows_per_lang=40)
+    assert model.predict(pa.array(["the and of to in", "der die und das"]))[0].to_pylist() == ["en", "de"]
