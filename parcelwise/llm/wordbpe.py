@@ -63,6 +63,9 @@ class WordBpe:
         for left, right in model["merges"]:
             a, b, c = vocab[left], vocab[right], vocab[left + right]
             self.merged[a << 20 | b], self.split[c] = c, (a, b)
+        order = [vocab[left + right] for left, right in model["merges"]]
+        if order != sorted(order) or len(set(order)) < len(order):
+            raise ValueError(f"{path} does not number its tokens in the order of its merges")
         self.inner: dict[bytes, int] = {}
         self.final: dict[bytes, int] = {}
         for token, i in vocab.items():
