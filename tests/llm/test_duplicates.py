@@ -3,6 +3,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -89,6 +90,46 @@ def test_long_lists_give_few_links():
     assert len(links) == len(prints) - 1
 
 
+def test_the_count_drops_pairs_before_bits_are_compared():
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 63, 4000, np.uint64)
+    flips = [np.bitwise_or.reduce(np.uint64(1) << rng.choice(64, n, replace=False).astype(np.uint64)) for n in rng.integers(0, 12, 4000)]
+    b = a ^ np.array(flips, np.uint64)
+    shared = [sum(x == y for x, y in zip(int(p).to_bytes(8), int(q).to_bytes(8), strict=True)) for p, q in zip(a, b, strict=True)]
+    assert simhash.tally(a, b).tolist() == shared
+    dropped = sum(s < 4 for s in shared)
+    differing = [(int(p) ^ int(q)).bit_count() for p, q in zip(a, b, strict=True)]
+    assert 500 < dropped < 3500 and any(s >= 4 and d > 4 for s, d in zip(shared, differing, strict=True))
+    assert simhash.verified(a, b, 4, 4).tolist() == [i for i, d in enumerate(differing) if d <= 4]
+    assert simhash.verified(a, b, 64, 4).tolist() == [i for i, s in enumerate(shared) if s >= 4]
+
+
+def test_a_long_list_is_split_over_tasks(spark):
+    """Members that share a triple of bytes, most of them unlinked, go on to lists of four bytes."""
+    rng = random.Random(11)
+    prints = {0xABCDEF << 40 | rng.getrandbits(40) for _ in range(1500)}
+    prints |= {p ^ (1 << rng.randrange(40)) ^ (1 << rng.randrange(40)) for p in rng.sample(sorted(prints), 300)}
+    prints = sorted(prints)
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    nodes = spark.createDataFrame(list(enumerate(signed)), "node long, print long")
+    every = [(i, j) for i, j in combinations(range(len(prints)), 2) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    want = components_of(range(len(prints)), every)
+    for longest in (1 << 14, 100, 10):
+        links = simhash.near_links(nodes, longest=longest).collect()
+        assert all((prints[r.a] ^ prints[r.b]).bit_count() <= 4 for r in links)
+        assert components_of(range(len(prints)), [tuple(r) for r in links]) == want
+
+    def stream(size):
+        key = np.zeros(len(prints), np.int64)
+        held = np.array(prints, np.uint64)
+        for i in range(0, len(prints), size):
+            yield pa.RecordBatch.from_arrays([pa.array(key[i : i + size]), pa.array(held[i : i + size].view(np.int64)), pa.array(np.arange(len(prints))[i : i + size])], names=["key", "print", "node"])
+
+    for size in (7, 100, 4000):
+        found = pa.Table.from_batches(simhash._linked(stream(size), 4, 4, 16, 100))
+        assert sorted(found.column("a").to_pylist()) == list(range(len(prints))) and found.column("b").null_count == len(found)
+
+
 def test_near_duplicates(spark, odd_docs, odd_texts, no_docs):
     more = [(500, None), (501, None), (20, odd_texts[20]), (None, odd_texts[21]), (None, "only here without an id")]
     docs = odd_docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
