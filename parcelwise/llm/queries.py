@@ -103,5 +103,56 @@ from v left join n on n.x = vec_id left join least on least.x = vec_id
 """
 
 
+def either_case(letters: str) -> str:
+    """A pattern of the ASCII letters in either case and of nothing else, in an engine that folds Unicode."""
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in letters)
+
+
+def secrets_sql() -> str:
+    """Matches are found by the rules' patterns; each one's place is its first occurrence behind the match before it."""
+    words = "|".join(map(either_case, ("password", "passwd", "secret", "token", "api_?key")))
+    folded = "(?ai:password|passwd|secret|token|api_?key)"
+    rules = [(k, r.kind, r.pattern.replace(folded, words).replace("'", "''"), r.group, r.least) for k, r in enumerate(secretscan.RULES)]
+    table = ", ".join(f"({k}, '{kind}', '{pattern}', {group}, {least})" for k, kind, pattern, group, least in rules)
+    found = " union all ".join(f"select r, {k} as k, regexp_extract_all(t, '{pattern}') as ms, regexp_extract_all(t, '{pattern}', {group}) as gs from d" for k, _, pattern, group, _ in rules)
+    base = f"k < {len(secretscan.BASE)}"
+    listed = "kind || ':' || a || ':' || z"
+    return f"""
+with recursive d as (select row_number() over () as r, doc_id, coalesce(text, '') as t from documents),
+rule(k, kind, pattern, grp, least) as (values {table}),
+m as (select * from ({found}) where len(ms) > 0),
+place(r, k, i, a, z) as (select r, k, 0, 0, 0 from m
+  union all select r, k, i + 1, z + instr(substr(t, z + 1), ms[i + 1]) - 1, z + instr(substr(t, z + 1), ms[i + 1]) - 1 + length(ms[i + 1])
+  from place join m using (r, k) join d using (r) where i < len(ms)),
+span as (select r, k, kind, cast(a as bigint) as a, cast(z as bigint) as z from place join m using (r, k) join rule using (k) where i > 0 and length(gs[i]) >= least)
+select doc_id, {", ".join(f"count(*) filter (kind = '{x.kind}') as n_{x.kind}" for x in secretscan.BASE)},
+  sha256(coalesce(string_agg({listed}, ',' order by a, k) filter ({base}), '')) as base_sha256, coalesce(string_agg({listed}, ',' order by a, k), '') as spans
+from d left join span using (r) group by r, doc_id
+"""
+
+
+def licenses_sql() -> str:
+    rows, about = [], []
+    for number, t in enumerate(licenses.TEMPLATES):
+        words = t.text.split()
+        about.append(f"({number}, '{t.label}', {str(t.base).lower()}, {len(words) - t.k + 1}, {t.least!r}e0)")
+        rows += [f"({number}, {t.k}, {i}, '{' '.join(words[i : i + t.k])}')" for i in range(len(words) - t.k + 1)]
+    grams = " union all ".join(f"select r, {k} as k, i, array_to_string(ws[i + 1:i + {k}], ' ') as gram from (select r, ws, unnest(range(0, len(ws) - {k - 1})) as i from w where len(ws) >= {k})" for k in licenses.SIZES)
+    near = licenses.NEAR
+    return rf"""
+with w as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as ws from documents),
+template(template, k, place, gram) as (values {", ".join(rows)}),
+about(template, label, base, size, least) as (values {", ".join(about)}),
+vote as (select r, template, i - place as diagonal, count(*) as votes, min(i) as a, max(i + k) as z from ({grams}) join template using (k, gram) group by all),
+parted as (select *, diagonal - lag(diagonal) over o as gap, max(z) over (partition by r, template order by diagonal rows between unbounded preceding and 1 preceding) as reach
+  from vote join about using (template) window o as (partition by r, template order by diagonal)),
+numbered as (select *, sum(case when gap is null or base or gap > {near} or a > reach + {near} then 1 else 0 end) over (partition by r, template order by diagonal) as span from parted),
+span as (select r, label, base, min(a) as a, least(1e0, sum(votes) / any_value(size)) as share from numbered group by r, template, span, label, base having least(1e0, sum(votes) / any_value(size)) >= any_value(least))
+select doc_id, cast(any_value(len(ws)) as bigint) as n_words, count(*) filter (base) as n_base, cast(min(a) filter (base) as bigint) as first_word, cast(max(a) filter (base) as bigint) as last_word,
+  coalesce(string_agg(distinct label, ',' order by label) filter (base), '') as base_labels, coalesce(string_agg(distinct label, ',' order by label), '') as labels, coalesce(max(share), 0e0) as score
+from w left join span using (r) group by r, doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quality_rules": quality.ORACLE_SQL, "op5_chat_format": CHAT_SQL, "op9_embedding_dedup": EMBEDDINGS_SQL}
+    return {"op3_secret_scan": secrets_sql(), "op4_quality_rules": quality.ORACLE_SQL, "op5_chat_format": CHAT_SQL, "op6_license_scan": licenses_sql(), "op9_embedding_dedup": EMBEDDINGS_SQL}

@@ -88,3 +88,35 @@ def test_odd_rows_pass_every_stage(spark, odd_docs, no_docs, empty):
         docs = stage(spark, docs, SF)
         n = docs.count()
     assert n == 0 if empty else n > 0
+
+
+def test_rows_of_odd_documents(spark, odd_docs, no_docs):
+    """Which rows each stage keeps of nulls, blanks, repeats, repeated and missing ids, by number."""
+    long = " ".join(f"the boat{i} of harbour{i * 7} went by" for i in range(30))
+    other = " ".join(f"many people{i} read a story{i * 3} again" for i in range(30))
+    secret = f"{other} password = abcdefgh12"
+    rows = [(1, long), (1, long), (None, long), (None, other), (None, other), (2, other), (2, secret), (3, None), (3, None), (None, None), (4, ""), (5, " \n\t"), (6, "12 34"), (7, "the boat"), (8, long + " | x")]
+    docs = spark.createDataFrame([(i, t, None if i == 1 else "en", None, None) for i, t in rows], no_docs.schema)
+    found = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+    order = lambda x: sorted(x, key=repr)
+    docs = corpus_pipeline.language_id(spark, docs, SF).cache()
+    wordy = [(i, t) for i, t in rows if t and re.search("[a-z]", t)]
+    assert found(docs) == order(wordy)
+    docs = corpus_pipeline.quality_rules(spark, docs, SF).cache()
+    enough = [(i, t) for i, t in wordy if t != "the boat"]
+    assert found(docs) == order(enough) and all(r.n_chars == len(r.text) for r in docs.collect())
+    docs = corpus_pipeline.near_dedup(spark, docs, SF).cache()
+    prints = {t: simhash.fingerprint(t) for _, t in enough}
+    near = lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 4
+    assert near(long, long + " | x") and not near(other, long)
+    kept = [(1, long), (2, other)] + ([] if near(other, secret) else [(2, secret)])
+    assert found(docs) == order(kept)
+    docs = corpus_pipeline.secret_scan(spark, docs, SF).cache()
+    assert found(docs) == order([(i, plain_redacted(t)) for i, t in kept])
+    packed = corpus_pipeline.pack(spark, docs, SF).collect()
+    assert {r.doc_id for r in packed} == {1, 2} and all(r.length == r.doc_tokens for r in packed) and len(packed) == len(kept)
+    for stage in (corpus_pipeline.near_dedup, corpus_pipeline.secret_scan):
+        odd = stage(spark, spark.createDataFrame([(3, None, None, None, None), (None, None, "en", None, 5), (4, "", "en", "s", 0)], no_docs.schema), SF)
+        assert found(odd) == ([(3, None)] if stage is corpus_pipeline.near_dedup else [(3, None), (4, ""), (None, None)])
+    blank = corpus_pipeline.pack(spark, spark.createDataFrame([(None, None, None, None, None), (4, "", "en", "s", 0)], no_docs.schema), SF).collect()
+    assert sorted((str(r.doc_id), r.length, r.doc_tokens) for r in blank) == [("4", 1, 1), ("None", 1, 1)]
