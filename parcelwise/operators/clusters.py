@@ -102,6 +102,43 @@ class ShiftLimit:
         return False
 
 
+class Nearest:
+    """By point and cluster, the distance and number of the cluster's nearest allocated point.
+
+    Every coordinate counts once, for its first allocated point: repeated stops would make
+    all usual steps zero. Points are added as they are allocated, at a distance column each.
+    """
+
+    def __init__(self, clusterer: Clusterer, k: int):
+        n = len(clusterer.points)
+        self.of, self.everything = clusterer, np.arange(n)
+        self.far, self.who = np.full((n, k), np.inf), np.full((n, k), -1)
+        self.held = np.full(int(clusterer.place.max()) + 1 if n else 0, -1)
+
+    def points(self) -> np.ndarray:
+        """The points that stand for the allocated coordinates."""
+        return self.held[self.held >= 0]
+
+    def take(self, p: int, label: int) -> None:
+        far = self.of.apart(self.everything, np.array([p]))[:, 0]
+        nearer = far < self.far[:, label]
+        self.far[nearer, label], self.who[nearer, label] = far[nearer], p
+
+    def add(self, which: np.ndarray, labels: np.ndarray) -> None:
+        for p in which.tolist():
+            place = self.of.place[p]
+            before = self.held[place]
+            if 0 <= before < p:
+                continue
+            self.held[place] = p
+            if before >= 0 and labels[before] != labels[p]:  # the coordinate changes its cluster
+                other = labels[before]
+                self.far[:, other], self.who[:, other] = np.inf, -1
+                for q in (x for x in self.points().tolist() if labels[x] == other):
+                    self.take(q, other)
+            self.take(p, labels[p])
+
+
 class Clusterer:
     """`nodes` and `seconds` give drive times between points; without them they count as unknown."""
 
@@ -111,6 +148,7 @@ class Clusterer:
         self.random = np.random.default_rng(seed)
         self.step = 0
         self.table = degrees(self.points, self.points) if len(self.points) <= MOST_TABLE else None
+        self.place = np.unique(self.points, axis=0, return_inverse=True)[1].ravel() if len(self.points) else np.zeros(0, int)
 
     def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Distances in degrees between points by number."""
@@ -136,17 +174,15 @@ class Clusterer:
         mean = lambda x, other: np.where(np.isnan(x).all(1), other, np.nansum(x, 1) / np.maximum((~np.isnan(x)).sum(1), 1))
         return mean(away, 0.0), mean(drive, USUAL_STEP)
 
-    def weights(self, left: np.ndarray, taken: np.ndarray, labels: np.ndarray, full: np.ndarray) -> np.ndarray:
-        apart = self.apart(left, taken)
-        order = np.argsort(labels[taken], kind="stable")
-        kinds, cut = np.unique(labels[taken][order], return_index=True)
-        if len(kinds) < 2:
+    def weights(self, left: np.ndarray, labels: np.ndarray, full: np.ndarray, near: Nearest) -> np.ndarray:
+        """Of the points left, from the clusters' nearest allocated points."""
+        taken = near.points()
+        if len(np.unique(labels[taken])) < 2:
             raise ValueError("weighing needs at least two clusters")
-        ends = np.append(cut[1:], len(order))
-        nearest = np.stack([order[a:b][apart[:, order[a:b]].argmin(1)] for a, b in zip(cut, ends, strict=True)], 1)
-        far = np.take_along_axis(apart, nearest, 1)
-        two = np.argsort(far, 1, kind="stable")[:, :2]
-        d, who = np.take_along_axis(far, two, 1), taken[np.take_along_axis(nearest, two, 1)]
+        far = near.far[left]
+        two = np.argpartition(far, 1, 1)[:, :2]
+        two = np.take_along_axis(two, np.lexsort((two, np.take_along_axis(far, two, 1))), 1)
+        d, who = np.take_along_axis(far, two, 1), near.held[self.place[near.who[left[:, None], two]]]
         first = who[:, 0]
         t1, t2 = (np.where(np.isnan(t) | (t == 0), DAY, t) for t in (self.drives(left, first), self.drives(left, who[:, 1])))
         rims, back = np.unique(first, return_inverse=True)
@@ -168,10 +204,11 @@ class Clusterer:
         full = np.full(k, 0.01)
         between = degrees(centroids[:1], centroids[1:])
         radius = float(between.min()) / 2 if k > 1 else 0.0
+        near = Nearest(self, k)
+        near.add(np.flatnonzero(labels >= 0), labels)
         while len(left := np.flatnonzero(labels < 0)):
-            taken = np.flatnonzero(labels >= 0)
-            if k > 1 and len(np.unique(labels[taken])) > 1:
-                weights = self.weights(left, taken, labels, full)
+            if k > 1 and len(np.unique(labels[near.points()])) > 1:
+                weights = self.weights(left, labels, full, near)
             else:
                 weights = np.ones(len(left))
             many = k * next(m for over, m in ((0.9, 1), (0.7, 2), (0.4, 3), (-1.0, 5)) if full.max() > over)
@@ -180,8 +217,9 @@ class Clusterer:
                 if placed and radius and degrees(points[i : i + 1], points[placed]).min() < radius:
                     continue
                 placed.append(int(i))
-            owners = labels[taken[self.apart(np.array(placed), taken).argmin(1)]]
+            owners = near.far[placed].argmin(1)
             labels[placed] = owners
+            near.add(np.array(placed), labels)
             touched = np.unique(owners).tolist()
             full[touched] = self.strategy.saturation(labels, touched, k, self.step)
         return self.resized(labels, centroids, full) if may_resize else (labels, centroids)
