@@ -56,6 +56,31 @@ def sound_point(lat, lon) -> Column:
     return F.coalesce((F.abs(col(lat)) <= 90.0) & (F.abs(col(lon)) <= 180.0), F.lit(False))
 
 
+def vertex(lat, lon) -> Column:
+    """A coordinate as one value, struct(lat, lon)."""
+    return F.struct(col(lat).cast("double").alias("lat"), col(lon).cast("double").alias("lon"))
+
+
+def curve_place(lat, lon, bits: int = 30) -> Column:
+    """A Morton code: the bits of both coordinates, interleaved, of a grid over the globe."""
+
+    def spread(x: Column) -> Column:
+        for shift in (16, 8, 4, 2, 1):
+            every = sum(((1 << shift) - 1) << (2 * shift * i) for i in range(32 // shift))
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(every))
+        return x
+
+    cells = (1 << bits) - 1
+    row = F.floor((col(lat) + 90.0) / 180.0 * cells).cast("long")
+    column = F.floor((col(lon) + 180.0) / 360.0 * cells).cast("long")
+    return F.shiftleft(spread(row), 1).bitwiseOR(spread(column))
+
+
+def composed_label(label, zone, zone_size: int = 10000) -> Column:
+    """A label that is unique over all zones, from one that is unique within a zone."""
+    return col(label) + col(zone) * zone_size
+
+
 def one_way(oneway, junction) -> Column:
     """`yes`, or a roundabout that says nothing; any other value is two-way."""
     return F.coalesce(col(oneway) == "yes", F.lit(False)) | (col(oneway).isNull() & F.coalesce(col(junction) == "roundabout", F.lit(False)))

@@ -83,5 +83,5 @@ def farthest_by_km(points: DataFrame, lat: float, lon: float) -> DataFrame:
 
 
 def sampled(points: DataFrame, k: int, seed: int = 0) -> DataFrame:
-    """k points without replacement, the same ones for the same seed."""
-    return points.orderBy(F.xxhash64(F.lit(seed), "point_id"), "point_id").limit(k)
+    """k points without replacement, the same ones for the same seed: those of least MD5 of seed and id."""
+    return points.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("point_id").cast("string"))), "point_id").limit(k)

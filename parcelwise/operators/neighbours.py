@@ -1,14 +1,20 @@
-"""Nearest-neighbour joins on the plane of degrees, by grid cells."""
+"""Nearest-neighbour joins on the plane of degrees, by boxes along a space-filling curve."""
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelwise.functions.geo import degrees_apart
-from parcelwise.session import stored
+from parcelwise.functions.geo import curve_place, degrees_apart
+from parcelwise.session import numbered, stored
+
+LEAF, FAN = 64, 16  # candidates of a leaf at least, boxes below a box
+SLACK = 1e-9  # of a distance, for its rounding
+
+
+def boxes(members: DataFrame, node) -> DataFrame:
+    """The extent and number of candidates of each node, from its members' extents."""
+    return members.groupBy(node.alias("node")).agg(F.min("lat0").alias("lat0"), F.max("lat1").alias("lat1"), F.min("lon0").alias("lon0"), F.max("lon1").alias("lon1"), F.sum("n").alias("n"))
 
 
 def nearest(queries: DataFrame, candidates: DataFrame, k: int, others_only: bool = False) -> DataFrame:
@@ -17,45 +23,41 @@ def nearest(queries: DataFrame, candidates: DataFrame, k: int, others_only: bool
     Ties go to the lower cand_id; with others_only a candidate of the query's own id does
     not count. Distinct coordinates are what is joined: candidates at one place are cut to
     the k + 1 lowest ids, all that any query can need, so crowded places stay bounded.
-    Cells hold about k places; each round joins the 3 x 3 cells around a query, and takes
-    what is nearer than the ring is wide as final. Places without k such candidates go
-    on with cells twice as wide, until a cell spans everything.
+
+    Candidates in the order of a space-filling curve are cut into leaves of equal number,
+    whatever their density, FAN leaves into a box, FAN boxes into a box, up to one. Every
+    query's place walks down from the top: a box that holds enough candidates bounds the
+    distance of the last one needed by its far corner, and boxes whose near side is beyond
+    that are left. What a place meets is a few leaves, in a town as in the desert; boxes
+    with many queries are split by adaptive execution, as any join key.
     """
-    spark = queries.sparkSession
-    per_place = Window.partitionBy("lat", "lon").orderBy("cand_id")
-    held = stored(candidates.select("cand_id", "lat", "lon").withColumn("_n", F.row_number().over(per_place)).where(F.col("_n") <= k + 1).drop("_n"), "candidates")
-    asked = stored(queries.select("query_id", "lat", "lon"), "queries")
-    box = held.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    around = asked.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if not box[0] or around[0] is None:
-        return spark.createDataFrame([], "query_id long, cand_id long, dist double, rank int")
-    lat0, lon0 = min(box[1], around[0]), min(box[3], around[2])
-    span = max(max(box[2], around[1]) - lat0, max(box[4], around[3]) - lon0, 1e-7)
-    cell = span / max(1.0, math.sqrt(box[0] / (k + 1)))
-    places, done = asked.select("lat", "lon").distinct(), []
     need = k + 1 if others_only else k
-    while True:
-        at = lambda x, base: F.floor((F.col(x) - base) / cell)
-        ring = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-        mine = places.select("lat", "lon", ring.alias("d")).select("lat", "lon", (at("lat", lat0) + F.col("d.i")).alias("cx"), (at("lon", lon0) + F.col("d.j")).alias("cy"))
-        theirs = held.select(F.col("cand_id"), F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), at("lat", lat0).alias("cx"), at("lon", lon0).alias("cy"))
-        dist = degrees_apart("lat", "lon", "to_lat", "to_lon")
-        order = Window.partitionBy("lat", "lon").orderBy("dist", "cand_id")
-        met = mine.join(theirs, ["cx", "cy"]).select("lat", "lon", "cand_id", dist.alias("dist")).withColumn("place_rank", F.row_number().over(order)).where(F.col("place_rank") <= need)
-        whole = cell >= span
-        met = stored(met if whole else met.where(F.col("dist") < cell), "neighbours")
-        if whole:
-            done.append(met)
-            break
-        full = met.groupBy("lat", "lon").agg(F.count("*").alias("n")).where(F.col("n") >= need).select("lat", "lon")
-        done.append(met.join(full, ["lat", "lon"], "left_semi"))
-        places = stored(places.join(full, ["lat", "lon"], "left_anti"), "places")
-        if places.isEmpty():
-            break
-        cell *= 2.0
-    found = done[0]
-    for more in done[1:]:
-        found = found.unionByName(more)
+    size = max(LEAF, need)
+    per_place = Window.partitionBy("lat", "lon").orderBy("cand_id")
+    some = candidates.select(F.col("cand_id").cast("long").alias("cand_id"), "lat", "lon").withColumn("_n", F.row_number().over(per_place)).where(F.col("_n") <= k + 1).drop("_n")
+    held = stored(numbered(some.withColumn("_curve", curve_place("lat", "lon")), "_at", "_curve", "cand_id").select("cand_id", "lat", "lon", F.floor(F.col("_at") / size).alias("leaf")), "candidates")
+    asked = stored(queries.select(F.col("query_id").cast("long").alias("query_id"), "lat", "lon"), "queries")
+    leaves = boxes(held.select("leaf", F.col("lat").alias("lat0"), F.col("lat").alias("lat1"), F.col("lon").alias("lon0"), F.col("lon").alias("lon1"), F.lit(1).alias("n")), F.col("leaf"))
+    levels = [stored(leaves, "boxes")]
+    n = levels[0].count()
+    while n > 1:
+        levels.append(boxes(levels[-1], F.floor(F.col("node") / FAN)))
+        n = -(-n // FAN)
+    places = asked.where("lat is not null and lon is not null").select("lat", "lon").distinct().withColumn("node", F.lit(0).cast("long"))
+    here = Window.partitionBy("lat", "lon")
+    for below in levels[-2::-1]:
+        child = below.withColumn("parent", F.floor(F.col("node") / FAN)).withColumnRenamed("node", "child")
+        met = places.join(child, F.col("node") == F.col("parent"))
+        beyond = lambda x, low, high: F.greatest(F.col(low) - F.col(x), F.col(x) - F.col(high), F.lit(0.0))
+        across = lambda x, low, high: F.greatest(F.abs(F.col(x) - F.col(low)), F.abs(F.col(x) - F.col(high)))
+        length = lambda f: F.sqrt(F.pow(f("lat", "lat0", "lat1"), 2.0) + F.pow(f("lon", "lon0", "lon1"), 2.0))
+        met = met.select("lat", "lon", F.col("child").alias("node"), length(beyond).alias("near"), F.when(F.col("n") >= need, length(across)).alias("far"))
+        reach = F.coalesce(F.min("far").over(here) * (1 + SLACK), F.lit(float("inf")))
+        places = met.withColumn("reach", reach).where(F.col("near") <= F.col("reach")).select("lat", "lon", "node")
+    theirs = held.select("cand_id", F.col("lat").alias("to_lat"), F.col("lon").alias("to_lon"), F.col("leaf").alias("node"))
+    order = here.orderBy("dist", "cand_id")
+    found = places.join(theirs, "node").select("lat", "lon", "cand_id", degrees_apart("lat", "lon", "to_lat", "to_lon").alias("dist"))
+    found = found.withColumn("place_rank", F.row_number().over(order)).where(F.col("place_rank") <= need)
     out = asked.join(found, ["lat", "lon"])
     if others_only:
         out = out.where(F.col("query_id") != F.col("cand_id"))
@@ -93,3 +95,20 @@ def distinct_pairs(pairs: DataFrame, known: DataFrame | None = None) -> DataFram
     """Unordered pairs a < b, once each, without those already known (a, b)."""
     out = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
     return out if known is None else out.join(known.select("a", "b"), ["a", "b"], "left_anti")
+
+
+def pairs_within(rows: DataFrame, *key: str, of: str = "node_id") -> DataFrame:
+    """Key, a and b: all unordered pairs of distinct values of a group, whose size the caller bounds (a route, a zone)."""
+    own = rows.select(*key, F.col(of).alias("a")).distinct()
+    return own.join(own.withColumnRenamed("a", "b"), list(key)).where("a < b")
+
+
+def neighbour_node_pairs(stops: DataFrame, k: int = 50, known: DataFrame | None = None) -> DataFrame:
+    """a, b: the road nodes of each stop and its k - 1 nearest other stops, unordered, once each, without those known.
+
+    stops: point_id, lat, lon, node_id. Stops at one node make no pair.
+    """
+    near = knn_pairs(stops, k).select("point_id", "near_id")
+    at = stops.select("point_id", "node_id")
+    pairs = near.join(at.withColumnRenamed("node_id", "a"), "point_id").join(at.select(F.col("point_id").alias("near_id"), F.col("node_id").alias("b")), "near_id")
+    return distinct_pairs(pairs.select("a", "b"), known)

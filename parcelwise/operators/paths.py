@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parcelwise.operators.roads import refuse_large
+from parcelwise.operators.neighbours import pairs_within
+from parcelwise.operators.roads import largest_component, refuse_large
 from parcelwise.session import dealt
 
 
@@ -37,6 +39,22 @@ class RoadGraph:
         first = np.concatenate([[0], np.cumsum(np.bincount(a, minlength=len(ids)))])
         return cls(ids, first, b[order], e["duration"].to_numpy(float)[order], n["lat"].to_numpy(float), n["lon"].to_numpy(float))
 
+    def largest(self) -> RoadGraph:
+        """The graph of the largest strongly connected component."""
+        start = np.repeat(np.arange(len(self.ids)), np.diff(self.first))
+        if not len(start):
+            raise ValueError("the road graph has no edges")
+        kept = np.zeros(len(self.ids), bool)
+        kept[largest_component(start, self.to)] = True
+        inner = kept[start] & kept[self.to]
+        number = np.cumsum(kept) - 1
+        first = np.concatenate([[0], np.cumsum(np.bincount(number[start[inner]], minlength=int(kept.sum())))])
+        return RoadGraph(self.ids[kept], first, number[self.to[inner]], self.seconds[inner], self.lat[kept], self.lon[kept])
+
+    def nodes(self, spark: SparkSession) -> DataFrame:
+        """node_id of every node; the graph's size is checked, so this small column may be broadcast."""
+        return F.broadcast(spark.createDataFrame(pd.DataFrame({"node_id": self.ids})))
+
     def place(self, node: int) -> int:
         at = int(np.searchsorted(self.ids, node))
         if at == len(self.ids) or self.ids[at] != node:
@@ -52,13 +70,13 @@ class RoadGraph:
         start = self.place(source)
         left = None if targets is None else {self.place(t) for t in targets}
         goal = next(iter(left)) if heuristic_kmh and left and len(left) == 1 else None
-        ahead = np.zeros(len(self.ids))
+        ahead = None
         if goal is not None:
             a, b = np.radians(self.lat), np.radians(self.lat[goal])
             chord = np.sin((a - b) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(self.lon - self.lon[goal]) / 2) ** 2
             ahead = 2 * 6371.0088 * np.arcsin(np.sqrt(np.minimum(1, chord))) / heuristic_kmh * 3600
         first, to, cost = self.first, self.to, self.seconds
-        best, settled, heap, out = {start: 0.0}, set(), [(float(ahead[start]), start)], {}
+        best, settled, heap, out = {start: 0.0}, set(), [(0.0, start)], {}
         while heap and (left is None or left):
             _, u = heapq.heappop(heap)
             if u in settled:
@@ -69,11 +87,11 @@ class RoadGraph:
                 out[int(self.ids[u])] = d
                 if left is not None:
                     left.discard(u)
-            for k in range(first[u], first[u + 1]):
-                v = int(to[k])
-                if v not in settled and (new := d + float(cost[k])) < best.get(v, np.inf):
+            low, high = first[u], first[u + 1]
+            for v, leg in zip(to[low:high].tolist(), cost[low:high].tolist(), strict=True):
+                if v not in settled and (new := d + leg) < best.get(v, np.inf):
                     best[v] = new
-                    heapq.heappush(heap, (new + float(ahead[v]), v))
+                    heapq.heappush(heap, (new if ahead is None else new + float(ahead[v]), v))
         return out
 
     def times(self, nodes) -> PairTimes:
@@ -93,6 +111,16 @@ class PairTimes:
     ids: np.ndarray
     seconds: np.ndarray
 
+    @classmethod
+    def of(cls, nodes, a: np.ndarray, b: np.ndarray, seconds: np.ndarray) -> PairTimes:
+        """From a table of pairs a < b; a node is 0 from itself, pairs that are not in the table are inf."""
+        ids = np.unique(np.fromiter((int(x) for x in nodes), np.int64))
+        table = np.full((len(ids), len(ids)), np.inf)
+        np.fill_diagonal(table, 0.0)
+        i, j = np.searchsorted(ids, a), np.searchsorted(ids, b)
+        table[i, j] = table[j, i] = np.where(np.isnan(seconds), np.inf, seconds)
+        return cls(ids, table)
+
     def __call__(self, a: int, b: int) -> float:
         return float(self.seconds[np.searchsorted(self.ids, a), np.searchsorted(self.ids, b)])
 
@@ -148,6 +176,29 @@ def pair_seconds(pairs: DataFrame, graph: RoadGraph, known: DataFrame | None = N
     return out
 
 
+def applied_with_times(rows: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame, PairTimes], pd.DataFrame], schema: str, graph: RoadGraph | None, durations: DataFrame | None = None, more: Sequence[int] = ()) -> DataFrame:
+    """f(group, drive times between its nodes) for each group of rows by keys, of a size that the caller bounds.
+
+    Its nodes are those of `node_id`, of `start_node` if there is one, and `more`. Times
+    come from searches in the broadcast graph, or from `durations` (a, b, duration), which
+    must hold every pair: then nothing is searched and no graph is needed.
+    """
+    ends = ["node_id", *(["start_node"] if "start_node" in rows.columns else [])]
+    nodes_of = lambda pdf: [*pd.concat([pdf[c] for c in ends]).dropna(), *more]
+    if durations is None:
+        held = rows.sparkSession.sparkContext.broadcast(graph)
+        return dealt(rows, *keys).groupBy(*keys).applyInPandas(lambda pdf: f(pdf, held.value.times(nodes_of(pdf))), schema)
+    own = rows.select(*keys, F.explode(F.array(*[F.col(c).cast("long") for c in ends], *[F.lit(int(x)).cast("long") for x in more])).alias("node_id")).where("node_id is not null")
+    pairs = pairs_within(own, *keys).join(durations.select("a", "b", "duration"), ["a", "b"])
+    theirs = [f"_{k}_of_pair" for k in keys]
+    pairs = pairs.select(*(F.col(k).alias(t) for k, t in zip(keys, theirs, strict=True)), "a", "b", "duration")
+
+    def one(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        return f(pdf, PairTimes.of(nodes_of(pdf), *(known[c].to_numpy() for c in ("a", "b", "duration"))))
+
+    return dealt(rows, *keys).groupBy(*keys).cogroup(dealt(pairs, *theirs).groupBy(*theirs)).applyInPandas(one, schema)
+
+
 def with_seconds(pairs: DataFrame, durations: DataFrame) -> DataFrame:
     """Every pair asked for, repeats and order columns kept, with its duration or null."""
     both = F.col("a").isNotNull() & F.col("b").isNotNull()  # least and greatest pass over nulls

@@ -10,9 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parcelwise.operators.paths import PairTimes, RoadGraph
+from parcelwise.operators.paths import PairTimes, RoadGraph, applied_with_times
 from parcelwise.operators.tours import spanning_tree
-from parcelwise.session import dealt
 
 LEAST_GAIN = 20.0  # seconds
 
@@ -90,12 +89,17 @@ def chosen_moves(moves: list[Move], most: int = 5) -> list[Move]:
     return out
 
 
-def refined(points: np.ndarray, labels: np.ndarray, nodes: list[int], seconds: PairTimes, least: int = 3, share: float = 0.1, most_moves: int = 5, most_rounds: int = 100) -> tuple[np.ndarray, list[Move]]:
-    """(labels after all moves, the moves); gains fade by 0.8 with each earlier move of a stop."""
+def refined(points: np.ndarray, labels: np.ndarray, nodes: list[int], seconds: PairTimes, **limits) -> tuple[np.ndarray, list[Move]]:
+    """(labels after all moves, the moves)."""
+    return refined_rounds(points, labels, nodes, seconds, **limits)[:2]
+
+
+def refined_rounds(points: np.ndarray, labels: np.ndarray, nodes: list[int], seconds: PairTimes, least: int = 3, share: float = 0.1, most_moves: int = 5, most_rounds: int = 100) -> tuple[np.ndarray, list[Move], int]:
+    """(labels after all moves, the moves, the rounds that moved something); gains fade by 0.8 with each earlier move of a stop."""
     labels, done, moved = labels.copy(), [], Counter()
-    n_clusters = len(np.unique(labels[labels >= 0]))
+    n_clusters, rounds = len(np.unique(labels[labels >= 0])), 0
     if not n_clusters:
-        return labels, done
+        return labels, done, rounds
     reach = max(2, min(len(points) // n_clusters, len(points) // 10))
     for _ in range(most_rounds):
         moves = []
@@ -123,36 +127,50 @@ def refined(points: np.ndarray, labels: np.ndarray, nodes: list[int], seconds: P
             labels[m.members] = m.target
             moved.update(m.members)
         done += picked
-    return labels, done
+        rounds += 1
+    return labels, done, rounds
+
 
+REFINED = "point_id long, label long, moves int, gain double, rounds int"
 
-def refine_clusters(stops: DataFrame, graph: RoadGraph, by: str | None = None) -> DataFrame:
-    """stops (point_id, lat, lon, node_id, label) with the labels after refinement.
 
-    One task refines one region: all stops, or those of one value of `by`, which must
-    hold whole clusters. The planner refines zone by zone, so a group stays bounded.
+def refine_clusters(stops: DataFrame, graph: RoadGraph | None, by: str, durations: DataFrame | None = None) -> DataFrame:
+    """stops (point_id, lat, lon, node_id, label) with their labels after refinement, how often each was moved, its
+    share of the seconds gained, and the rounds of its region.
+
+    One task refines one region, a value of `by`, which must hold whole clusters and
+    bounds the group; a round makes at most five moves in each region. Drive times come
+    from the graph, or from `durations` if given.
     """
-    held = stops.sparkSession.sparkContext.broadcast(graph)
-    key = F.col(by) if by else F.lit(0)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, times: PairTimes) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
-        nodes = [int(x) for x in pdf["node_id"]]
-        labels, _ = refined(pdf[["lat", "lon"]].to_numpy(float), pdf["label"].to_numpy(int), nodes, held.value.times(nodes))
-        return pd.DataFrame({"point_id": pdf["point_id"], "label": labels})
+        labels, done, rounds = refined_rounds(pdf[["lat", "lon"]].to_numpy(float), pdf["label"].to_numpy(int), [int(x) for x in pdf["node_id"]], times)
+        moves, gain = np.zeros(len(pdf), int), np.zeros(len(pdf))
+        for m in done:
+            moves[m.members] += 1
+            gain[m.members] += m.per_stop
+        return pd.DataFrame({"point_id": pdf["point_id"], "label": labels, "moves": moves, "gain": gain, "rounds": rounds})
+
+    rows = stops.select("point_id", "lat", "lon", "node_id", "label", F.col(by).alias("_region"))
+    return applied_with_times(rows, ["_region"], one, REFINED, graph, durations)
+
 
-    return dealt(stops.select("point_id", "lat", "lon", "node_id", "label", key.alias("_region")), "_region").groupBy("_region").applyInPandas(one, "point_id long, label long")
+def move_statistics(refined_stops: DataFrame) -> DataFrame:
+    """One row on a refinement: most rounds of a region, seconds gained, moves of stops, and seconds to each of them."""
+    moved, gain = F.coalesce(F.sum("moves"), F.lit(0)), F.coalesce(F.sum("gain"), F.lit(0.0))
+    out = refined_stops.agg(F.coalesce(F.max("rounds"), F.lit(0)).alias("rounds"), gain.alias("total_gain"), moved.alias("stops_moved"))
+    return out.withColumn("gain_per_stop", F.when(F.col("stops_moved") > 0, F.col("total_gain") / F.col("stops_moved")))
 
 
-def cluster_trees(stops: DataFrame, graph: RoadGraph) -> DataFrame:
+def cluster_trees(stops: DataFrame, graph: RoadGraph | None, durations: DataFrame | None = None) -> DataFrame:
     """The spanning tree's edges of each cluster: label, a, b (road nodes), duration."""
-    held = stops.sparkSession.sparkContext.broadcast(graph)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, times: PairTimes) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
-        nodes = [int(x) for x in pdf["node_id"]]
-        built = cluster_tree(list(range(len(pdf))), nodes, held.value.times(nodes), 2)
+        built = cluster_tree(list(range(len(pdf))), [int(x) for x in pdf["node_id"]], times, 2)
         rows = [] if built is None else [(min(built[0][a], built[0][b]), max(built[0][a], built[0][b]), s) for a, b, s in built[1]]
         return pd.DataFrame({"label": pd.Series([pdf["label"].iloc[0]] * len(rows), dtype="int64"), "a": pd.Series([r[0] for r in rows], dtype="int64"), "b": pd.Series([r[1] for r in rows], dtype="int64"), "duration": pd.Series([r[2] for r in rows], dtype="float64")})
 
-    return dealt(stops.select("point_id", "node_id", F.col("label").cast("long").alias("label")), "label").groupBy("label").applyInPandas(one, "label long, a long, b long, duration double")
+    rows = stops.select("point_id", "node_id", F.col("label").cast("long").alias("label"))
+    return applied_with_times(rows, ["label"], one, "label long, a long, b long, duration double", graph, durations)

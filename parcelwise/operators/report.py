@@ -36,11 +36,19 @@ def route_statistics(routed: DataFrame, first_seconds: DataFrame, per_stop: floa
     return per.select((F.col("label") + 1).alias("label"), "count_orders", travel.alias("travel_time"), hours("first_seconds").alias("time_to_first_point"), delivery.alias("delivery_time"), F.bround(travel + delivery, 2).alias("total_working_time"))
 
 
-def seconds_to_first(routed: DataFrame, graph: RoadGraph) -> DataFrame:
-    """label and first_seconds; routed has label, node_id, point_id, route_series and start_node."""
+def seconds_to_first(routed: DataFrame, graph: RoadGraph | None, durations: DataFrame | None = None) -> DataFrame:
+    """label and first_seconds; routed has label, node_id, point_id, route_series and start_node.
+
+    Drive times come from the graph, or from `durations` if given.
+    """
     ends = first_stops(routed).join(routed.groupBy("label").agg(F.first("start_node").alias("start_node")), "label")
     key = ends.select("label", F.least("node_id", "start_node").alias("a"), F.greatest("node_id", "start_node").alias("b"))
-    return key.join(pair_seconds(key.select("a", "b"), graph), ["a", "b"], "left").select("label", F.col("duration").alias("first_seconds"))
+    if durations is None:
+        timed = key.join(pair_seconds(key.select("a", "b"), graph), ["a", "b"], "left")
+    else:
+        known = key.join(durations.select("a", "b", "duration"), ["a", "b"], "left")
+        timed = known.withColumn("duration", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("duration")))
+    return timed.select("label", F.col("duration").alias("first_seconds"))
 
 
 def result_orders(orders: DataFrame, routed: DataFrame) -> DataFrame:
@@ -48,8 +56,18 @@ def result_orders(orders: DataFrame, routed: DataFrame) -> DataFrame:
     return orders.join(routed.select("point_id", (F.col("label") + 1).alias("label"), "route_series"), "point_id")
 
 
-def result_document(routes: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row, `document`: {"version", "routes", "orders"} as JSON. For results that fit one document; else write both tables."""
+MOST_ROWS = 1_000_000
+
+
+def refuse_many(orders: DataFrame, most: int = MOST_ROWS) -> None:
+    """Raises where a result has more orders than one document, workbook or map can hold."""
+    if (n := orders.count()) > most:
+        raise ValueError(f"{n} orders are more than one document holds ({most}); export_tables writes any number")
+
+
+def result_document(routes: DataFrame, orders: DataFrame, most: int = MOST_ROWS) -> DataFrame:
+    """One row, `document`: {"version", "routes", "orders"} as JSON, for results of up to `most` orders; any more are refused."""
+    refuse_many(orders, most)
     listed = lambda df, order: df.agg(F.array_sort(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("_row")))).alias("x")).select(F.transform("x", lambda r: r["_row"]).alias("x"))
     a, b = listed(routes, ["label"]), listed(orders, ["point_id"])
     both = a.withColumnRenamed("x", "routes").join(b.withColumnRenamed("x", "orders"))
@@ -70,15 +88,17 @@ def export_json(routes: DataFrame, orders: DataFrame, folder: str) -> str:
     return written(f"{folder.rstrip('/')}/result.json.gz", gzip.compress(document.encode()))
 
 
-def export_tables(routes: DataFrame, orders: DataFrame, folder: str) -> None:
-    """The same result for any size: Parquet tables, orders by label and in route order."""
+def export_tables(routes: DataFrame, orders: DataFrame, folder: str) -> str:
+    """The same result for any size: Parquet tables, orders by label and in route order; the folder."""
     routes.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/routes")
     dealt = orders.repartition("label").sortWithinPartitions("label", "route_series")
     dealt.write.mode("overwrite").partitionBy("label").parquet(f"{folder.rstrip('/')}/orders")
+    return folder
 
 
 def export_workbooks(routes: DataFrame, orders: DataFrame, folder: str) -> str:
     """all_routes.xlsx, all_address.xlsx and route_<label>.xlsx for each label in route order, zipped; the archive's path."""
+    refuse_many(orders)
     stats, rows = routes.orderBy("label").toPandas(), orders.orderBy("point_id").toPandas()
     plain = lambda v: None if v is None or v != v else v.item() if hasattr(v, "item") else v
     sheet = lambda df, index: workbook(["", *df.columns] if index else list(df.columns), [[*([i] if index else []), *map(plain, r)] for i, r in enumerate(df.itertuples(index=False))])
@@ -99,6 +119,7 @@ def coloured(labelled: DataFrame) -> DataFrame:
 
 def export_map(points: DataFrame, depots: DataFrame, folder: str) -> str:
     """A page that draws the stops in their labels' colours and the depots over them, with its data as GeoJSON."""
+    refuse_many(points)
     rows = points.join(coloured(points), "label").select("point_id", "lat", "lon", "label", "colour").orderBy("point_id").collect()
     feature = lambda lat, lon, **p: {"type": "Feature", "geometry": {"type": "Point", "coordinates": [lon, lat]}, "properties": p}
     found = [feature(r["lat"], r["lon"], label=r["label"], colour=r["colour"]) for r in rows]

@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelwise.operators.matching import perfect_matching
-from parcelwise.operators.paths import PairTimes, RoadGraph
-from parcelwise.session import dealt
+from parcelwise.operators.paths import PairTimes, RoadGraph, applied_with_times
 
 
 def spanning_tree(cost: np.ndarray) -> list[tuple[int, int, float]]:
@@ -93,21 +92,21 @@ def tour(stops: list[int], start: int | None, seconds: PairTimes) -> tuple[float
     return route_seconds(stops, places, start, seconds), places
 
 
-def sequence_routes(stops: DataFrame, graph: RoadGraph) -> DataFrame:
+def sequence_routes(stops: DataFrame, graph: RoadGraph | None, durations: DataFrame | None = None) -> DataFrame:
     """stops (label, point_id, node_id, start_node) with route_series from 1 and the route's travel seconds.
 
-    One group is one route, which a shift bounds; the road graph is broadcast.
+    One group is one route, which a shift bounds. Drive times come from the graph, or
+    from `durations` if given.
     """
-    held = stops.sparkSession.sparkContext.broadcast(graph)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, times: PairTimes) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         start = pdf["start_node"].iloc[0]
         stops, start = [int(x) for x in pdf["node_id"]], None if pd.isna(start) else int(start)
-        seconds, places = tour(stops, start, held.value.times(stops if start is None else [*stops, start]))
+        seconds, places = tour(stops, start, times)
         return pd.DataFrame({"label": pdf["label"], "point_id": pdf["point_id"], "route_series": [p + 1 for p in places], "travel_seconds": seconds})
 
-    return dealt(stops.select("label", "point_id", "node_id", "start_node"), "label").groupBy("label").applyInPandas(one, "label long, point_id long, route_series long, travel_seconds double")
+    return applied_with_times(stops.select("label", "point_id", "node_id", "start_node"), ["label"], one, "label long, point_id long, route_series long, travel_seconds double", graph, durations)
 
 
 def leg_seconds(series: DataFrame, durations: DataFrame) -> DataFrame:

@@ -9,33 +9,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parcelwise.functions.geo import curve_place
 from parcelwise.operators.area import dense_labels
 from parcelwise.operators.clusters import by_shift, by_size
-from parcelwise.operators.paths import RoadGraph
+from parcelwise.operators.paths import PairTimes, RoadGraph, applied_with_times
 from parcelwise.session import dealt, numbered
 
 ONE_ZONE, ZONE, MICRO = 2000, 1500, 10
 
 
-def curve_place(lat, lon, bits: int = 16):
-    """A Morton code: the bits of both coordinates, interleaved, of a grid over the globe."""
-    x = F.floor((F.col(lat) + 90.0) / 180.0 * ((1 << bits) - 1)).cast("long")
-    y = F.floor((F.col(lon) + 180.0) / 360.0 * ((1 << bits) - 1)).cast("long")
-    out = F.lit(0).cast("long")
-    for b in range(bits):
-        out = out.bitwiseOR(F.shiftleft(F.shiftright(x, b).bitwiseAND(F.lit(1)), 2 * b + 1)).bitwiseOR(F.shiftleft(F.shiftright(y, b).bitwiseAND(F.lit(1)), 2 * b))
-    return out
-
-
-def size_clusters(points: DataFrame, target: int, by: str | None = None, seed: int = 0) -> DataFrame:
-    """points (point_id, lat, lon) with label, clusters of about `target` points, each value of `by` on its own."""
-    key = F.col(by) if by else F.lit(0)
+def size_clusters(points: DataFrame, target: int, by: str, seed: int = 0) -> DataFrame:
+    """points (point_id, lat, lon) with label, clusters of about `target` points, each value of `by` on its own, in a task."""
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         return pd.DataFrame({"point_id": pdf["point_id"], "region": pdf["_region"], "label": by_size(pdf[["lat", "lon"]].to_numpy(float), target, seed=seed)})
 
-    return dealt(points.select("point_id", "lat", "lon", key.cast("long").alias("_region")), "_region").groupBy("_region").applyInPandas(one, "point_id long, region long, label long")
+    return dealt(points.select("point_id", "lat", "lon", F.col(by).cast("long").alias("_region")), "_region").groupBy("_region").applyInPandas(one, "point_id long, region long, label long")
 
 
 def zoned(xy: np.ndarray, zone_points: int, micro: int = MICRO, seed: int = 0) -> np.ndarray:
@@ -70,21 +60,34 @@ def plan_zones(points: DataFrame, seed: int = 0) -> DataFrame:
     return split_zones(points, min(ZONE, math.floor(n / 3 + 0.5)), seed)
 
 
-def shift_clusters(points: DataFrame, zones: DataFrame, graph: RoadGraph, depots: list[tuple[float, float, int]], per_stop: float = 300.0, shift: float = 36000.0, patience: int = 3, most_rounds: int = 100, seed: int = 0) -> DataFrame:
+def shift_clusters(points: DataFrame, zones: DataFrame, graph: RoadGraph | None, depots: list[tuple[float, float, int]], per_stop: float = 300.0, shift: float = 36000.0, patience: int = 3, most_rounds: int = 100, seed: int = 0, durations: DataFrame | None = None) -> DataFrame:
     """point_id, bucket, zone and label: routes of each zone, numbered densely over all zones.
 
     points carry node_id; depots are (lat, lon, node_id). A zone is one group of bounded
-    size, so the tasks are independent; only labels cross afterwards.
+    size, so the tasks are independent; only labels cross afterwards. Drive times come
+    from the graph, or from `durations` if given.
     """
-    held = points.sparkSession.sparkContext.broadcast(graph)
     seats, depot_nodes = np.array([d[:2] for d in depots], float), [int(d[2]) for d in depots]
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame, times: PairTimes) -> pd.DataFrame:
         pdf = pdf.sort_values("point_id")
         nodes = [int(x) for x in pdf["node_id"]]
-        labels = by_shift(pdf[["lat", "lon"]].to_numpy(float), nodes, seats, depot_nodes, held.value.times([*nodes, *depot_nodes]), per_stop, shift, patience, seed, most_rounds)
+        labels = by_shift(pdf[["lat", "lon"]].to_numpy(float), nodes, seats, depot_nodes, times, per_stop, shift, patience, seed, most_rounds)
         return pd.DataFrame({"point_id": pdf["point_id"], "bucket": pdf["bucket"], "zone": pdf["zone"], "zone_label": labels})
 
     rows = points.select("point_id", "lat", "lon", "node_id").join(zones, "point_id")
-    made = dealt(rows, "bucket", "zone").groupBy("bucket", "zone").applyInPandas(one, "point_id long, bucket long, zone long, zone_label long")
+    made = applied_with_times(rows, ["bucket", "zone"], one, "point_id long, bucket long, zone long, zone_label long", graph, durations, depot_nodes)
     return dense_labels(made, "bucket", "zone", "zone_label").withColumnRenamed("dense_label", "label")
+
+
+def stretches(stops: DataFrame, size: int = 2 * ZONE, shifted: bool = False) -> DataFrame:
+    """label and region: whole clusters in the order of their centres on the curve, about `size` stops to a region.
+
+    `shifted` moves the borders by half a region, so that clusters on two sides of a
+    border share a region there.
+    """
+    centres = stops.groupBy("label").agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"), F.count("*").alias("n"))
+    ordered = numbered(centres.select("label", "n", curve_place("lat", "lon").alias("_curve")), "_at", "_curve", "label")
+    places = stops.select("label").join(ordered, "label").select("label", "_at")
+    first = numbered(places, "_row", "_at").groupBy("label").agg(F.min("_row").alias("first"))
+    return first.select("label", F.floor((F.col("first") + (size // 2 if shifted else 0)) / size).alias("region"))
