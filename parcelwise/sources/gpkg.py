@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import os
+import shutil
 import sqlite3
 import struct
 import tempfile
+from contextlib import closing
+from urllib.parse import quote
 
+from pyarrow import fs
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from parcelwise.sources.xlsx import opened
-
 VERTEX = T.StructType([T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType())])
 ROADS = T.StructType([T.StructField("road_id", T.LongType()), T.StructField("geometry", T.ArrayType(VERTEX)), T.StructField("highway", T.StringType()), T.StructField("oneway", T.StringType()), T.StructField("junction", T.StringType())])
 # Bytes of a GeoPackage geometry's envelope by its code.
@@ -37,38 +39,71 @@ def packed_line(line: list[tuple[float, float]]) -> bytes:
     return b"GP\x00\x01" + struct.pack("<i", 4326) + struct.pack(f"<BII{len(flat)}d", 1, 2, len(line), *flat)
 
 
+class Stretch(InputPartition):
+    """Roads of ids from `first` to `last`; all of them where both are None."""
+
+    def __init__(self, first: int | None = None, last: int | None = None):
+        self.first, self.last = first, last
+
+
 class RoadsReader(DataSourceReader):
-    def __init__(self, path: str, layer: str, box: list[float] | None, schema: T.StructType):
-        self.path, self.layer, self.box, self.schema = path, layer, box, schema
+    """A file on a path that driver and executors share is read in place, in stretches of ids; one in another store is
+    copied to the worker's disk first, so it is read by a single task."""
+
+    def __init__(self, path: str, layer: str, box: list[float] | None, parts: int):
+        self.path, self.layer, self.box, self.parts = path, layer, box, parts
+        self.quoted = '"' + layer.replace('"', '""') + '"'
+
+    def mounted(self) -> str | None:
+        path = self.path.removeprefix("file://")
+        return path if "://" not in path and os.path.exists(path) else None
 
     def partitions(self):
-        return [InputPartition(0)]
+        if not self.mounted():
+            return [Stretch()]
+        with closing(in_place(self.mounted())) as db:
+            first, last = db.execute(f"select min({self.key(db)}), max({self.key(db)}) from {self.quoted}").fetchone()
+        if first is None:
+            return [Stretch()]
+        step = (last - first) // self.parts + 1
+        return [Stretch(i, min(i + step - 1, last)) for i in range(first, last + 1, step)]
 
     def read(self, partition):
-        folder = tempfile.mkdtemp()
-        local = os.path.join(folder, "roads.gpkg")
-        with open(local, "wb") as f:
-            f.write(opened(self.path))
-        try:
-            yield from self.rows(sqlite3.connect(local))
-        finally:
-            os.unlink(local)
-            os.rmdir(folder)
-
-    def rows(self, db: sqlite3.Connection):
-        quoted = '"' + self.layer.replace('"', '""') + '"'
-        column = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", [self.layer]).fetchone()[0]
-        info = db.execute(f"pragma table_info({quoted})").fetchall()
-        names, key = {r[1] for r in info}, next((r[1] for r in info if r[5]), "rowid")
-        want = [f'"{c}"' if c in names else "null" for c in ("highway", "oneway", "junction")]
-        query, args = f'select "{key}", "{column}", {", ".join(want)} from {quoted}', []
-        tree = f"rtree_{self.layer}_{column}"
+        if path := self.mounted():
+            with closing(in_place(path)) as db:
+                yield from self.rows(db, partition)
+            return
+        with tempfile.TemporaryDirectory() as folder:
+            system, name = fs.FileSystem.from_uri(self.path)
+            with system.open_input_stream(name) as source, open(f"{folder}/roads.gpkg", "wb") as out:
+                shutil.copyfileobj(source, out, 16 << 20)
+            with closing(in_place(f"{folder}/roads.gpkg")) as db:
+                yield from self.rows(db, partition)
+
+    def key(self, db: sqlite3.Connection) -> str:
+        named = next((r[1] for r in db.execute(f"pragma table_info({self.quoted})") if r[5]), "rowid")
+        return f'"{named}"'
+
+    def rows(self, db: sqlite3.Connection, stretch: Stretch):
+        key, names = self.key(db), {r[1] for r in db.execute(f"pragma table_info({self.quoted})")}
+        geometry = db.execute("select column_name from gpkg_geometry_columns where table_name = ?", [self.layer]).fetchone()[0]
+        tags = ", ".join(f'"{c}"' if c in names else "null" for c in ("highway", "oneway", "junction"))
+        tests, args = [], []
+        if stretch.first is not None:
+            tests, args = [f"{key} between ? and ?"], [stretch.first, stretch.last]
+        tree = f"rtree_{self.layer}_{geometry}"
         if self.box and db.execute("select 1 from sqlite_master where name = ?", [tree]).fetchone():
-            query += f' where "{key}" in (select id from "{tree}" where maxx >= ? and minx <= ? and maxy >= ? and miny <= ?)'
-            args = [self.box[0], self.box[2], self.box[1], self.box[3]]
-        for fid, blob, *tags in db.execute(query, args):
+            tests.append(f'{key} in (select id from "{tree}" where maxx >= ? and minx <= ? and maxy >= ? and miny <= ?)')
+            args += [self.box[0], self.box[2], self.box[1], self.box[3]]
+        where = f" where {' and '.join(tests)}" if tests else ""
+        for fid, blob, *found in db.execute(f'select {key}, "{geometry}", {tags} from {self.quoted}{where}', args):
             if blob is not None:
-                yield (fid, line_of(blob), *tags)
+                yield (fid, line_of(blob), *found)
+
+
+def in_place(path: str) -> sqlite3.Connection:
+    """A file opened for reading only, without locks or side files."""
+    return sqlite3.connect(f"file:{quote(os.path.abspath(path))}?mode=ro&immutable=1", uri=True)
 
 
 class RoadsGpkg(DataSource):
@@ -76,7 +111,7 @@ class RoadsGpkg(DataSource):
 
     Option `box` (min_lon,min_lat,max_lon,max_lat) is looked up in the layer's R-tree,
     which compares extents; `operators.roads.box_filter` is the exact test. Option
-    `layer` names another layer.
+    `layer` names another layer, `parts` the number of tasks that read a shared file.
     """
 
     @classmethod
@@ -88,7 +123,7 @@ class RoadsGpkg(DataSource):
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         box = [float(x) for x in self.options["box"].split(",")] if self.options.get("box") else None
-        return RoadsReader(self.options["path"], self.options.get("layer", "lines"), box, schema)
+        return RoadsReader(self.options["path"], self.options.get("layer", "lines"), box, int(self.options.get("parts", "8")))
 
 
 def write_gpkg(path: str, roads: list[tuple]) -> None:

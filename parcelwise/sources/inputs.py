@@ -79,10 +79,14 @@ def read_roads(spark: SparkSession, box: tuple[float, float, float, float], path
     return box_filter(roads, *box)
 
 
+def map_folder(folder: str, box: tuple[float, float, float, float]) -> str:
+    """Where a box's map and its drive times are kept: below folder, under the box at three places."""
+    return f"{folder.rstrip('/')}/bbox_key={'_'.join(f'{x:.3f}' for x in box)}"
+
+
 def cached_map(spark: SparkSession, folder: str, box: tuple[float, float, float, float], build) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) kept below folder under the box at three places; build() makes them where either is missing."""
-    key = "_".join(f"{x:.3f}" for x in box)
-    paths = [f"{folder.rstrip('/')}/bbox_key={key}/{name}" for name in ("nodes", "edges")]
+    """(nodes, edges) kept below folder for the box; build() makes them where either is missing."""
+    paths = [f"{map_folder(folder, box)}/{name}" for name in ("nodes", "edges")]
     try:
         return tuple(spark.read.parquet(p) for p in paths)
     except Exception as e:
@@ -107,6 +111,16 @@ def last_durations(rows: DataFrame) -> DataFrame:
     return pair.groupBy("a", "b").agg(F.max_by("duration", "line").alias("duration"))
 
 
+def kept_durations(spark: SparkSession, path: str) -> DataFrame:
+    """What `read_durations` finds at path, no rows where nothing is kept yet."""
+    try:
+        return read_durations(spark, path)
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        return spark.createDataFrame([], "a long, b long, duration double")
+
+
 def add_durations(spark: SparkSession, path: str, found: DataFrame) -> None:
     """Appends those pairs that the table at path does not hold yet."""
     rows = stored(found.where("duration is not null").select(F.col("a").alias("start_id"), F.col("b").alias("end_id"), "duration"), "durations")

@@ -98,7 +98,8 @@ class OrdersXlsx(DataSource):
     """The first sheet of a workbook; its first row names the columns.
 
     business_code is text, latitude and longitude are doubles; any other column is a
-    double if all its cells are numbers, a boolean if all are, else text.
+    double if all its cells are numbers, a boolean if all are, else text. A sheet has
+    1,048,576 rows at most, so one task reads it; larger inputs come as CSV or Parquet.
     """
 
     @classmethod
