@@ -113,6 +113,13 @@ def pair_anti_cache(spark, sf_dir):
     return neighbours.distinct_pairs(_asked(spark, sf_dir), inputs.last_durations(_known(spark, sf_dir)))
 
 
+def preprocess_pairs(spark, sf_dir):
+    """The pairs of road nodes whose drive times a plan looks up first: each customer and the 9 nearest, known ones left out."""
+    net = network(spark, sf_dir)
+    known = tables.load(spark, sf_dir, "lineitem").select(F.pmod("l_partkey", F.lit(400)).alias("start_id"), F.pmod("l_orderkey", F.lit(400)).alias("end_id"), F.col("l_quantity").alias("duration"), F.struct("l_orderkey", "l_linenumber").alias("line")).where("l_suppkey % 10 = 0")
+    return neighbours.neighbour_node_pairs(snapped(spark, sf_dir, net), 10, inputs.last_durations(known))
+
+
 def duration_cache_scan(spark, sf_dir):
     return inputs.last_durations(_known(spark, sf_dir))
 
@@ -168,7 +175,7 @@ def dense_relabel(spark, sf_dir):
 
 
 def zone_compose(spark, sf_dir):
-    rows = tables.points(spark, sf_dir).select((F.col("label") + F.pmod("label", F.lit(3)) * 10000).alias("zone_label"))
+    rows = tables.points(spark, sf_dir).select(geo.composed_label("label", F.pmod("label", F.lit(3))).alias("zone_label"))
     return rows.groupBy("zone_label").agg(F.count("*").alias("n"))
 
 
@@ -218,6 +225,26 @@ def route_statistics(spark, sf_dir):
     return report.route_statistics(rows, first)
 
 
+def route_statistics_nearest(spark, sf_dir):
+    """Statistics of the blocks as routes from the depot nearest to their mean, in the order of their ids."""
+    net = network(spark, sf_dir)
+    stops, seconds = _legs(spark, sf_dir, net)
+    travel = tours.leg_seconds(stops, seconds).select("label", F.round("travel_seconds", 3).alias("travel_seconds"))
+    own = seats(spark, sf_dir, net)
+    seat = neighbours.nearest_depot(area.cluster_means(stops), own).join(own.select("warehouse_id", F.col("node_id").alias("start_node")), "warehouse_id")
+    rows = stops.join(travel, "label").join(seat.select("label", "start_node", "warehouse_id"), "label")
+    first = report.seconds_to_first(rows, net.graph).withColumn("first_seconds", F.round("first_seconds", 3))
+    return report.route_statistics(rows, first)
+
+
+def route_duration_spread(spark, sf_dir):
+    """How evenly the blocks' routes are filled: least, greatest and total drive time, and their deviation."""
+    net = network(spark, sf_dir)
+    stops, seconds = _legs(spark, sf_dir, net)
+    out = area.spread(tours.leg_seconds(stops, seconds), F.col("travel_seconds"))
+    return out.select("n_clusters", *(F.round(c, 3).alias(c) for c in ("least", "greatest", "total", "deviation")))
+
+
 def label_color(spark, sf_dir):
     return report.coloured(tables.points(spark, sf_dir))
 
@@ -233,8 +260,7 @@ def haversine(spark, sf_dir):
 
 def intra_cluster_pairs(spark, sf_dir):
     """All pairs of the stops of a route; a route (here: 50 stops) bounds its pairs."""
-    rows = tables.points(spark, sf_dir).select("block", F.col("point_id").alias("a"))
-    pairs = rows.join(rows.withColumnRenamed("a", "b"), "block").where("a < b")
+    pairs = neighbours.pairs_within(tables.points(spark, sf_dir), "block", of="point_id")
     return pairs.groupBy("block").agg(F.count("*").alias("n_pairs"), F.sum(F.col("a") * 31 + F.col("b")).alias("digest"))
 
 
@@ -260,6 +286,29 @@ def tour_sequence(spark, sf_dir):
     return planner.routed(stops, seats(spark, sf_dir, net), net).select("label", "point_id", "route_series", "travel_seconds")
 
 
+def tour_check(spark, sf_dir):
+    """By block: its tour's stops, first and last place, whether places are a permutation, and whether the drive time is its legs' sum and at most twice that of the spanning tree over start and stops."""
+    net = network(spark, sf_dir)
+    own = stored(seats(spark, sf_dir, net), "seats")
+    done = planner.routed(snapped(spark, sf_dir, net).withColumn("label", F.col("block")), own, net)
+    legs = done.select("label", "route_series", "node_id").unionByName(done.groupBy("label").agg(F.lit(0).cast("long").alias("route_series"), F.first("start_node").alias("node_id")))
+    after = legs.select("label", (F.col("route_series") - 1).alias("route_series"), F.col("node_id").alias("b"))
+    pairs = stored(legs.withColumnRenamed("node_id", "a").join(after, ["label", "route_series"]), "legs")
+    driven = paths.with_seconds(pairs, paths.pair_seconds(pairs.select("a", "b"), net.graph)).groupBy("label").agg(F.sum("duration").alias("driven"))
+    tree = refine.cluster_trees(legs.withColumn("point_id", F.col("route_series")), net.graph).groupBy("label").agg(F.sum("duration").alias("tree"))
+    per = done.groupBy("label").agg(F.count("*").alias("n_stops"), F.min("route_series").alias("first"), F.max("route_series").alias("last"), F.countDistinct("route_series").alias("n_places"), F.max("travel_seconds").alias("travel"))
+    per = per.join(driven, "label").join(tree, "label", "left")
+    near = F.abs(F.col("driven") - F.col("travel")) < 1e-3
+    return per.select("label", "n_stops", "first", "last", (F.col("n_places") == F.col("n_stops")).alias("permutation"), near.alias("legs_add_up"), (F.col("travel") <= 2 * F.coalesce("tree", F.lit(0.0)) + 1e-3).alias("within_two_trees"))
+
+
+def cluster_mst_weight(spark, sf_dir):
+    """Edges and total seconds of the spanning tree of each block."""
+    net = network(spark, sf_dir)
+    stops = snapped(spark, sf_dir, net).withColumn("label", F.col("block"))
+    return refine.cluster_trees(stops, net.graph).groupBy("label").agg(F.count("*").alias("n_edges"), F.round(F.sum("duration"), 3).alias("seconds"))
+
+
 def cluster_mst(spark, sf_dir):
     net = network(spark, sf_dir)
     stops = snapped(spark, sf_dir, net).withColumn("label", F.col("block"))
@@ -294,9 +343,47 @@ def _block_stops(spark, sf_dir, net):
     return stops.withColumn("region", F.floor((F.col("lat") - 40.0) * 2).cast("long")).withColumn("label", strip.cast("long"))
 
 
+def _refined(spark, sf_dir):
+    net = network(spark, sf_dir)
+    stops = _block_stops(spark, sf_dir, net).drop("region")
+    return refine.refine_clusters(stops.join(zones.stretches(stops), "label"), net.graph, "region")
+
+
 def refine_clusters(spark, sf_dir):
+    return _refined(spark, sf_dir).select("point_id", "label")
+
+
+def refine_check(spark, sf_dir):
+    """Of the refinement: stops, whether each has one label, whether all labels were there before, whether gain and moves belong together."""
     net = network(spark, sf_dir)
-    return refine.refine_clusters(_block_stops(spark, sf_dir, net), net.graph, "region")
+    before = _block_stops(spark, sf_dir, net).select("label").distinct().withColumn("known", F.lit(True))
+    done = stored(_refined(spark, sf_dir), "refined").join(F.broadcast(before), "label", "left")
+    moved = F.col("moves") > 0
+    return done.agg(F.count("*").alias("n_stops"), (F.countDistinct("point_id") == F.count("*")).alias("one_label_each"), F.coalesce(F.bool_and(F.coalesce("known", F.lit(False))), F.lit(True)).alias("old_labels"), F.coalesce(F.bool_and((F.col("gain") > 0) == moved), F.lit(True)).alias("moves_gain"))
+
+
+def cluster_check(spark, sf_dir):
+    """Of the clusters by size, the zones and the routes by shift: points, whether each has one label, and whether labels are dense."""
+    found = {"size": size_limited_cluster(spark, sf_dir).select("point_id", F.struct(F.col("region").alias("a"), F.col("label").alias("b")).alias("part"), F.col("region").alias("whole"), F.col("label").alias("k"))}
+    made = duration_limited_cluster(spark, sf_dir)
+    found["shift"] = made.select("point_id", F.struct(F.lit(0).cast("long").alias("a"), F.col("label").alias("b")).alias("part"), F.lit(0).cast("long").alias("whole"), F.col("label").alias("k"))
+    zoned = zone_cluster(spark, sf_dir)
+    found["zone"] = zoned.select("point_id", F.struct(F.col("bucket").alias("a"), F.col("zone").alias("b")).alias("part"), F.col("bucket").alias("whole"), F.col("zone").alias("k"))
+    out = None
+    for kind, rows in found.items():
+        rows = stored(rows, "clusters")
+        dense = rows.groupBy("whole").agg((F.countDistinct("k") == F.max("k") + 1).alias("dense")).agg(F.bool_and("dense").alias("dense"))
+        row = rows.agg(F.count("*").alias("n_points"), (F.countDistinct("point_id") == F.count("*")).alias("one_label_each")).join(dense).select(F.lit(kind).alias("kind"), "n_points", "one_label_each", "dense")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def shared_address_clusters(spark, sf_dir):
+    """Clusters of about 50 orders, many at one address: orders, addresses, and whether no address is torn over more clusters than it fills."""
+    rows = tables.load(spark, sf_dir, "orders").join(tables.points(spark, sf_dir).withColumnRenamed("point_id", "o_custkey"), "o_custkey").select(F.col("o_orderkey").alias("point_id"), "o_custkey", "lat", "lon")
+    zone = zones.plan_zones(rows).select("point_id", (F.col("bucket") * 1000 + F.col("zone")).alias("region"))
+    made = stored(zones.size_clusters(rows.join(zone, "point_id"), 50, "region"), "shared").join(rows.select("point_id", "o_custkey"), "point_id")
+    return made.agg(F.count("*").alias("n_orders"), F.countDistinct("o_custkey").alias("n_addresses"), (F.countDistinct("point_id") == F.count("*")).alias("one_label_each"))
 
 
 def result_document(spark, sf_dir):
@@ -308,13 +395,22 @@ def result_document(spark, sf_dir):
     return report.result_document(stats, report.result_orders(tables.points(spark, sf_dir).select("point_id", "lat", "lon"), done))
 
 
+def result_counts(spark, sf_dir):
+    """What the JSON document of the blocks' tours holds, read back from it."""
+    document = result_document(spark, sf_dir)
+    held = F.from_json("document", "version double, routes array<struct<label long, count_orders long, delivery_time double>>, orders array<struct<point_id long, label long, route_series long>>")
+    d = document.select(held.alias("d")).select("d.*")
+    total = lambda c, f: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + f(x))
+    return d.select("version", F.size("routes").cast("long").alias("n_routes"), F.size("orders").cast("long").alias("n_orders"), total(F.col("routes"), lambda r: r["label"] * r["count_orders"]).alias("labels_by_orders"), total(F.col("orders"), lambda o: o["label"]).alias("labels_of_orders"), total(F.col("orders"), lambda o: o["route_series"]).alias("places"))
+
+
 def queries() -> dict:
     found = (
         depot_reach, bbox_extent, area_guard, warehouse_parse, road_nodes_distinct, road_edges_directed, oneway_filter, bbox_roads, edge_duration, edge_dedup_last_wins,
         largest_scc, snap_nearest_node, pair_key_dedup, pair_anti_cache, duration_cache_scan, pair_lookup, knn_pairs, nearest_warehouse, nearest_point, farthest_point,
         sampled_points, cluster_mean, weighted_centroid, cluster_size_stats, duration_stats, dense_relabel, zone_compose, sssp_duration, pair_duration, route_leg_sum,
-        first_stop, route_statistics, label_color, coord_quantize, haversine, intra_cluster_pairs, cross_cluster_min, points_union_depots, tour_sequence, cluster_mst,
-        size_limited_cluster, zone_cluster, duration_limited_cluster, refine_clusters, result_document,
+        first_stop, route_statistics, route_statistics_nearest, route_duration_spread, label_color, coord_quantize, haversine, intra_cluster_pairs, cross_cluster_min, points_union_depots, tour_sequence, tour_check, cluster_mst, cluster_mst_weight,
+        size_limited_cluster, zone_cluster, duration_limited_cluster, cluster_check, shared_address_clusters, refine_clusters, refine_check, result_document, result_counts, preprocess_pairs,
     )
     return {f.__name__: f for f in found}
 
@@ -416,5 +512,17 @@ def oracle_sql() -> dict[str, str]:
         "haversine": f"with p as ({P}) select point_id, round({km_sql('lat', 'lon', '40.5e0', '(-73.5e0)')}, 6) as km, round({deg_sql('lat', 'lon', '40.5e0', '(-73.5e0)')}, 9) as degrees from p",
         "intra_cluster_pairs": f"with p as ({P}) select block, count(*) as n_pairs, cast(sum(a.point_id * 31 + b.point_id) as bigint) as digest from p a join p b using (block) where a.point_id < b.point_id group by block",
         "cross_cluster_min": base("select m.block, round(min(t), 6) as least_seconds from (select distinct block, node_id from snapped) m join (select distinct block, node_id from snapped) n on n.block = m.block + 1 join way on x = least(m.node_id, n.node_id) and y = greatest(m.node_id, n.node_id) group by m.block", ways("select distinct node_id as x from snapped")),
+        "sampled_points": f"with p as ({P}) select point_id from p order by md5('7:' || point_id), point_id limit 20",
+        "preprocess_pairs": base("select a, b from (select distinct least(m.node_id, n.node_id) as a, greatest(m.node_id, n.node_id) as b from near join snapped m on m.point_id = near.point_id join snapped n on n.point_id = near.near_id where m.node_id <> n.node_id) anti join known using (a, b)", f"near as (select x.point_id, y.point_id as near_id from snapped x join snapped y on x.point_id <> y.point_id qualify row_number() over (partition by x.point_id order by {deg_sql('x.lat', 'x.lon', 'y.lat', 'y.lon')}, y.point_id) <= 9)", "known as (select distinct least(l_partkey % 400, l_orderkey % 400) as a, greatest(l_partkey % 400, l_orderkey % 400) as b from lineitem where l_suppkey % 10 = 0)"),
+        "route_statistics_nearest": base(f"select block + 1 as label, n as count_orders, round_even(travel / 3600e0, 2) as travel_time, round_even(round(t, 3) / 3600e0, 2) as time_to_first_point, round_even(n * 300e0 / 3600e0, 2) as delivery_time, round_even(round_even(travel / 3600e0, 2) + round_even(n * 300e0 / 3600e0, 2), 2) as total_working_time from (select block, count(*) as n, arg_min(node_id, point_id) as f from snapped group by block) join (select block, round(sum(t), 3) as travel from legs join way on x = a and y = b group by block) using (block) join (select block, arg_min(seats.node_id, ({deg_sql('m.lat', 'm.lon', 'd.lat', 'd.lon')}, d.warehouse_id)) as depot from (select block, avg(lat) as lat, avg(lon) as lon from snapped group by block) m cross join d join seats on seats.warehouse_id = d.warehouse_id group by block) using (block) join way on x = least(f, depot) and y = greatest(f, depot)", SERIES, ways("select distinct node_id as x from snapped union select node_id from seats")),
+        "route_duration_spread": base("select count(*) as n_clusters, round(min(v), 3) as least, round(max(v), 3) as greatest, round(sum(v), 3) as total, round(stddev_pop(v), 3) as deviation from (select sum(t) as v from legs join way on x = a and y = b group by block)", SERIES, ways("select distinct node_id as x from snapped")),
+        "tour_check": base("select block as label, count(*) as n_stops, cast(1 as bigint) as first, count(*) as last, true as permutation, true as legs_add_up, true as within_two_trees from snapped group by block"),
+        "cluster_mst_weight": base("select block as label, count(*) as n_edges, round(sum(t), 3) as seconds from tree where t > 0 group by block", ways("select distinct node_id as x from snapped"), "own as (select distinct block, node_id from snapped)", "link as (select m.block, m.node_id as a, n.node_id as b, t from own m join own n on n.block = m.block and n.node_id <> m.node_id join way on x = least(m.node_id, n.node_id) and y = greatest(m.node_id, n.node_id))", """tree(block, node_id, t) using key (block, node_id) as (select block, min(node_id), 0e0 from own group by block
+ union select link.block, arg_min(link.b, (link.t, link.b)), min(link.t) from tree once join recurring.tree r on r.block = once.block join link on link.block = r.block and link.a = r.node_id
+   left join recurring.tree q on q.block = link.block and q.node_id = link.b where q.node_id is null group by link.block)"""),
+        "cluster_check": f"with p as ({P}) select kind, count(*) as n_points, true as one_label_each, true as dense from p cross join (select unnest(['size', 'shift', 'zone']) as kind) group by kind",
+        "shared_address_clusters": f"with p as ({P}) select count(*) as n_orders, count(distinct o_custkey) as n_addresses, true as one_label_each from orders join p on o_custkey = point_id",
+        "refine_check": f"with p as ({P}) select count(*) as n_stops, true as one_label_each, true as old_labels, true as moves_gain from p",
+        "result_counts": f"with p as ({P}), b as (select block, count(*) as n from p group by block) select cast(1 as double) as version, count(*) as n_routes, cast(sum(n) as bigint) as n_orders, cast(sum((block + 1) * n) as bigint) as labels_by_orders, cast(sum((block + 1) * n) as bigint) as labels_of_orders, cast(sum(n * (n + 1) // 2) as bigint) as places from b",
         "points_union_depots": f"with p as ({P}), d as ({D}) select round(lat, 9) as lat, round(lon, 9) as lon from (select lat, lon from p union all select lat, lon from d)",
     }
