@@ -92,6 +92,20 @@ def test_gpkg(spark, road_file):
     assert gpkg.line_of(gpkg.packed_line([(1.5, 2.5), (3.0, 4.0)])) == [(1.5, 2.5), (3.0, 4.0)]
 
 
+def test_gpkg_stretches(spark, road_file, tmp_path, monkeypatch):
+    whole = gpkg.RoadsReader(str(road_file), "lines", None, 5)
+    parts = whole.partitions()
+    found = [[r[0] for r in whole.read(p)] for p in parts]
+    assert len(parts) == 5 and all(found) and sorted(x for f in found for x in f) == sorted(r.road_id for r in tables.roads(spark, SF).collect())
+    monkeypatch.setattr(gpkg.RoadsReader, "mounted", lambda self: None)  # as from another store
+    far = gpkg.RoadsReader(f"file://{road_file}", "lines", [-73.75, 40.20, -73.40, 40.42], 5)
+    assert [(p.first, p.last) for p in far.partitions()] == [(None, None)] and 0 < len(list(far.read(far.partitions()[0]))) < 46
+    monkeypatch.undo()
+    gpkg.write_gpkg(f"{tmp_path}/none.gpkg", [])
+    none = gpkg.RoadsReader(f"{tmp_path}/none.gpkg", "lines", None, 3)
+    assert [list(none.read(p)) for p in none.partitions()] == [[]]
+
+
 def test_durations(spark, tmp_path):
     (tmp_path / "d.csv").write_text("start_id,end_id,duration\n2,1,5.0\n1,2,6.0\n3,3,0\n")
     got = {(r.a, r.b): r.duration for r in inputs.read_durations(spark, str(tmp_path / "d.csv")).collect()}
@@ -156,3 +170,42 @@ def test_command_line(spark, orders, road_file, tmp_path, capsys):
     assert said.startswith("<done>") and len(json.loads(gzip.open(said[6:-7]).read())["orders"]) == 60
     assert planner.main(["--orders", str(path)]) == 1
     assert capsys.readouterr().out.strip().splitlines()[-1].startswith("<error>at least one depot")
+
+
+def files_of(folder):
+    return sorted(str(p) for p in folder.rglob("*.parquet"))
+
+
+def test_a_second_plan_searches_nothing(spark, orders, tmp_path, monkeypatch):
+    df, depots = spark.createDataFrame(orders[:50]), tables.depots(spark, SF)
+    settings = planner.Settings(most_rounds=2, durations=f"{tmp_path}/durations")
+    first, rows = planner.plan(df, depots, tables.roads(spark, SF), settings)
+    plain, _ = planner.plan(df, depots, tables.roads(spark, SF), planner.Settings(most_rounds=2))
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, plain.collect()))
+    kept = files_of(tmp_path / "durations")
+    assert kept and spark.read.parquet(settings.durations).groupBy("start_id", "end_id").count().where("count > 1").isEmpty()
+    monkeypatch.setattr(planner.paths, "pair_seconds", None)
+    monkeypatch.setattr(planner.report, "pair_seconds", None)
+    again, _ = planner.plan(df, depots, tables.roads(spark, SF), settings)
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, first.collect()))
+    assert files_of(tmp_path / "durations") == kept
+
+
+def test_command_line_with_a_cache(spark, orders, road_file, tmp_path, capsys, monkeypatch):
+    path = tmp_path / "orders.csv"
+    path.write_text("business_code,latitude,longitude\n" + "".join(f"{r.business_code},{r.latitude!r},{r.longitude!r}\n" for r in orders[:25]))
+    args = ["--orders", str(path), "--roads", str(road_file), "--warehouse-coords", "40.5,-73.5 40.2,-73.8", "--rounds", "4", "--patience", "2", "--seed", "1", "--cache", f"{tmp_path}/kept", "--output"]
+    for kind, name in (("json", "result.json.gz"), ("tables", "")):
+        assert planner.main([*args, f"{tmp_path}/{kind}", "--format", kind]) == 0
+        assert capsys.readouterr().out.strip().splitlines()[-1] == f"<done>{tmp_path}/{kind}{'/' * bool(name)}{name}</done>"
+        monkeypatch.setattr(planner.paths, "pair_seconds", None)
+        monkeypatch.setattr(planner, "build_network", None)
+    held = {p.name for p in (tmp_path / "kept").iterdir()}
+    assert len(held) == 1 and {p.name for p in (tmp_path / "kept" / held.pop()).iterdir()} == {"nodes", "edges", "durations"}
+    assert spark.read.parquet(f"{tmp_path}/tables/orders").count() == 25
+
+
+def test_large_results_are_refused(spark):
+    rows = spark.range(3).selectExpr("id as point_id", "id as label")
+    with pytest.raises(ValueError, match="export_tables"):
+        report.result_document(rows, rows, 2)

@@ -3,6 +3,7 @@
 import heapq
 import math
 import random
+import time
 from itertools import combinations, permutations
 
 import numpy as np
@@ -126,6 +127,64 @@ def test_nearest_equals_brute_force(spark, k):
         assert [j for _, j in sorted(by[i])] == [j for _, j in want]
 
 
+def test_nearest_in_a_town_with_an_outlier(spark):
+    """The work does not follow the average density: a town beside an empty area costs what an even one does."""
+    def took(xy):
+        rows = spark.createDataFrame([(i, *p) for i, p in enumerate(xy.tolist())], "point_id long, lat double, lon double")
+        began = time.perf_counter()
+        n = neighbours.knn_pairs(rows, 10).count()
+        assert n == 9 * len(xy)
+        return time.perf_counter() - began
+
+    rng = np.random.default_rng(0)
+    even, town = rng.random((16_000, 2)), np.vstack([rng.random((15_999, 2)) * 1e-3, [[1.0, 1.0]]])
+    took(even[:500])
+    assert took(town) < 2 * took(even) + 1
+
+
+def test_nearest_across_leaves(spark):
+    """Towns of very different density, places on a line, many equal distances: as brute force says."""
+    rng = random.Random(3)
+    xy = [(rng.random() * 1e-4, rng.random() * 1e-4) for _ in range(300)] + [(40 + rng.random(), -70 + rng.random()) for _ in range(200)]
+    xy += [(10.0, x / 10) for x in range(150)] + [(x, y) for x in range(12) for y in range(12)] + [(-89.9, 179.9)]
+    rows = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(xy)], "id long, lat double, lon double")
+    for k, others in ((1, False), (5, True)):
+        got = neighbours.nearest(rows.withColumnRenamed("id", "query_id"), rows.withColumnRenamed("id", "cand_id"), k, others).collect()
+        by = {}
+        for r in got:
+            by.setdefault(r.query_id, []).append((r["rank"], r.cand_id))
+        for i, (x, y) in enumerate(xy):
+            want = sorted((math.sqrt((x - a) ** 2 + (y - b) ** 2), j) for j, (a, b) in enumerate(xy) if not others or j != i)[:k]
+            assert [j for _, j in sorted(by[i])] == [j for _, j in want]
+
+
+def test_neighbour_node_pairs(spark, net):
+    stops = planner.snapped_points(tables.points(spark, SF), net)
+    at = {r.point_id: (r.lat, r.lon, r.node_id) for r in stops.collect()}
+    want = set()
+    for i, (x, y, node) in at.items():
+        near = sorted((math.hypot(x - a, y - b), j) for j, (a, b, _) in at.items() if j != i)[:5]
+        want |= {tuple(sorted((node, at[j][2]))) for _, j in near if at[j][2] != node}
+    known = spark.createDataFrame([sorted(want)[0]], "a long, b long")
+    got = [tuple(r) for r in neighbours.neighbour_node_pairs(stops, 6, known).collect()]
+    assert len(got) == len(set(got)) and set(got) == want - {sorted(want)[0]}
+
+
+def test_curve_and_vertices(spark):
+    rows = spark.createDataFrame([(0, 1.5, -2.5), (1, -90.0, -180.0), (2, 90.0, 180.0), (3, 40.0, -74.0)], "id long, lat double, lon double")
+    for r in rows.select("*", geo.curve_place("lat", "lon").alias("place"), geo.vertex("lat", "lon").alias("v")).collect():
+        row, column = (math.floor((x + s) / (2 * s) * ((1 << 30) - 1)) for x, s in ((r.lat, 90.0), (r.lon, 180.0)))
+        assert r.place == sum((row >> b & 1) << (2 * b + 1) | (column >> b & 1) << (2 * b) for b in range(30))
+        assert (r.v.lat, r.v.lon) == (r.lat, r.lon)
+
+
+def test_node_coordinates(spark, net):
+    ids = net.graph.ids[:3].tolist()
+    wanted = spark.createDataFrame([(ids[0], "x"), (ids[2], "y"), (-1, "z")], "node_id long, tag string")
+    got = {r.tag: (r.lat, r.lon) for r in roads.node_coordinates(net.nodes, wanted).collect()}
+    assert got == {"x": (net.graph.lat[0], net.graph.lon[0]), "y": (net.graph.lat[2], net.graph.lon[2]), "z": (None, None)}
+
+
 def test_nearest_of_nothing(spark):
     none = spark.createDataFrame([], "query_id long, lat double, lon double")
     some = spark.createDataFrame([(1, 0.0, 0.0)], "cand_id long, lat double, lon double")
@@ -276,6 +335,50 @@ def test_size_clusters(town):
     assert set(clusters.by_size(np.repeat(xy[:1], 50, 0), 10)) <= set(range(10))
 
 
+def test_weights_with_several_stops_at_an_address(town):
+    """Repeated coordinates weigh as the addresses alone do: usual steps lead to other addresses."""
+    xy, nodes, times = town
+    labels = np.where(xy[:, 0] > 40.15, 1, 0)
+    labels[::3] = -1
+    left, taken = np.flatnonzero(labels < 0), np.flatnonzero(labels >= 0)
+    full = np.array([0.4, 0.6])
+    one = clusters.Clusterer(xy, clusters.SizeLimit(20), nodes, times)
+    many = clusters.Clusterer(np.repeat(xy, 5, 0), clusters.SizeLimit(100), [n for n in nodes for _ in range(5)], times)
+    near = clusters.Nearest(one, 2)
+    near.add(taken, labels)
+    weights = one.weights(left, labels, full, near)
+    repeated = np.repeat(labels, 5)
+    order = np.random.default_rng(1).permutation(np.flatnonzero(repeated >= 0))  # whatever the order of allocation
+    beside = clusters.Nearest(many, 2)
+    beside.add(order[:300], repeated)
+    beside.add(order[300:], repeated)
+    again = many.weights(np.flatnonzero(repeated < 0), repeated, full, beside)
+    assert len(beside.points()) == len(taken)
+    assert np.allclose(again, np.repeat(weights, 5)) and np.isfinite(again).all() and np.median(again) > 0.1
+    by = clusters.by_shift(np.repeat(xy[:60], 5, 0), [n for n in nodes[:60] for _ in range(5)], np.array([[40.1, -73.9]]), [52], times, 300.0, 36000.0, most_rounds=8)
+    assert np.unique(by).tolist() == list(range(by.max() + 1)) and by.max() >= 1
+
+
+def test_nearest_allocated_points_equal_brute_force():
+    rng = np.random.default_rng(2)
+    xy = np.round(rng.random((60, 2)) * 4)  # many shared coordinates
+    c = clusters.Clusterer(xy, clusters.SizeLimit(5))
+    labels = np.full(60, -1)
+    near = clusters.Nearest(c, 4)
+    for which in np.split(rng.permutation(60)[:48], 8):
+        labels[which] = rng.integers(0, 4, len(which))
+        near.add(which, labels)
+        taken = np.flatnonzero(labels >= 0)
+        held = taken[np.unique(xy[taken], axis=0, return_index=True)[1]]
+        assert sorted(near.points()) == sorted(held)
+        for k in range(4):
+            own = held[labels[held] == k]
+            want = np.linalg.norm(xy[:, None] - xy[own][None], axis=2).min(1) if len(own) else np.full(60, np.inf)
+            assert np.allclose(near.far[:, k], want)
+            some = np.flatnonzero(np.isfinite(near.far[:, k]))
+            assert np.allclose(np.linalg.norm(xy[some] - xy[near.who[some, k]], axis=1), want[some])
+
+
 def test_shift_clusters(town):
     xy, nodes, times = town
     depots, depot_nodes = np.array([[40.1, -73.9], [40.25, -73.75]]), [52, 113]
@@ -317,6 +420,43 @@ def test_small_groups():
     assert refine.small_groups(12, tree, [1, 1, 1, 3] + [1] * 8) == []
 
 
+def test_refinement_crosses_zone_borders(spark, net):
+    """Two zones side by side; a stop of one zone's route lies amid the other's: only the shifted pass can move it."""
+    points = tables.points(spark, SF)
+    stops = planner.snapped_points(points, net).select("point_id", "lat", "lon", "node_id").collect()
+    west = sorted(stops, key=lambda r: r.lon)
+    label = {r.point_id: int(i >= len(west) // 2) for i, r in enumerate(west)}
+    stray = west[-1].point_id
+    label[stray] = 0
+    rows = spark.createDataFrame([(*r, label[r.point_id], label[r.point_id], 0) for r in stops], "point_id long, lat double, lon double, node_id long, label long, bucket long, zone long")
+    first = refine.refine_clusters(rows.withColumn("region", F.col("bucket")), net.graph, "region")
+    assert {r.point_id: r.label for r in first.collect()} == label and refine.move_statistics(first).first().stops_moved == 0
+    both = {r.point_id: r.label for r in planner.refined(rows, net).collect()}
+    assert both[stray] == 1 and len(both) == len(label)
+    whole = refine.refine_clusters(rows.withColumn("region", F.lit(0)), net.graph, "region")
+    stats = refine.move_statistics(whole).first()
+    held = whole.collect()
+    assert stats.rounds >= 1 and stats.stops_moved == sum(r.moves for r in held) > 0
+    assert stats.total_gain == pytest.approx(sum(r.gain for r in held)) and stats.gain_per_stop == pytest.approx(stats.total_gain / stats.stops_moved)
+
+
+def test_stretches_hold_whole_clusters(spark):
+    rng = random.Random(5)
+    stops = spark.createDataFrame([(i, i // 10, 40 + (i // 10) / 50 + rng.random() / 100, -74.0) for i in range(1000)], "point_id long, label long, lat double, lon double")
+    plain, shifted = ({r.label: r.region for r in zones.stretches(stops, 200, s).collect()} for s in (False, True))
+    assert len(plain) == len(shifted) == 100
+    sizes = [sum(r == k for r in plain.values()) for k in set(plain.values())]
+    assert sizes == [20] * 5 and sorted(sum(r == k for r in shifted.values()) for k in set(shifted.values())) == [10, 10, 20, 20, 20, 20]
+
+
+def test_times_from_a_table_equal_those_from_the_graph(spark, net):
+    stops = planner.snapped_points(tables.points(spark, SF), net).withColumn("label", F.col("block")).withColumn("start_node", F.lit(int(net.graph.ids[7])))
+    pairs = neighbours.pairs_within(stops.select("label", "node_id").unionByName(stops.select("label", F.col("start_node").alias("node_id"))), "label")
+    table = paths.pair_seconds(pairs.select("a", "b"), net.graph)
+    found, again = (sorted(map(tuple, tours.sequence_routes(stops, *x).collect())) for x in ((net.graph,), (None, table)))
+    assert [r[:3] for r in found] == [r[:3] for r in again] and all(abs(x[3] - y[3]) < 1e-6 for x, y in zip(found, again, strict=True))
+
+
 def test_zones(spark):
     rng = random.Random(2)
     points = spark.createDataFrame([(i, 40 + rng.random(), -74 + rng.random()) for i in range(900)], "point_id long, lat double, lon double")
