@@ -30,6 +30,15 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where a table comes in fewer parts than they are, as a small file in one row group does.
+
+    Tables of any size worth the name come in more, and then nothing is exchanged.
+    """
+    few = 2 * df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(few) if df.rdd.getNumPartitions() < few else df
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(offsets, bytes) of a string or binary column; nulls count as empty."""
     column = pc.fill_null(column.cast(pa.large_binary()), b"")

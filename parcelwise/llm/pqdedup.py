@@ -10,10 +10,10 @@ lookups give its distance to all coded vectors; whatever is nearer than r + err
 link and is reranked by exact cosine in double precision. Both bounds are exact, so no
 link is lost and recall is 1.
 
-Lists grow in number with the classes, and neighbouring lists form groups of about
-`block` members: a query's vector travels once to each group in which it probes a list,
-and is compared with the members of the probed lists only. Groups longer than `block` are
-dealt into blocks by hash; a query meets each block. Links are never listed pair by pair:
+Lists grow in number with the largest label, and neighbouring lists form groups of about
+`block` of its members: a query's vector travels once to each group in which it probes a
+list, and is compared with the members of the probed lists only. Groups longer than `block`
+are dealt into blocks by hash; a query meets each block. Links are never listed pair by pair:
 a block returns each query's number of links and a spanning forest, at most one row for
 each query and member. Block numbers come from counts by group and hashed label; that
 table has at most MOST_LISTS x LABEL_SLOTS rows, whatever the input.
@@ -40,8 +40,9 @@ from parcelwise.session import stored
 
 LABEL_SLOTS = 1024
 MOST_LISTS = 2048
-LIST_MEMBERS = 128  # classes to a list, as long as MOST_LISTS are enough
-NEAREST = 4
+LIST_MEMBERS = 64  # classes of the largest label to a list, as long as MOST_LISTS are enough
+AT_ONCE = 2048  # queries, and members of a list, that are compared in one step
+NEAREST = 2
 ODD = -1  # the list and group of vectors of another length than the quantiser's
 SLACK = 1e-4  # for single-precision distances
 INDEX = "label long, node long, weight long, vec binary, list int, part int, probes array<struct<part:int,lists:array<int>>>, codes binary, err float"
@@ -53,8 +54,7 @@ def kmeans(x: np.ndarray, k: int, rounds: int, seed: int = 0) -> np.ndarray:
     for _ in range(rounds):
         near = ((c**2).sum(1) - 2 * x @ c.T).argmin(1)
         n = np.bincount(near, minlength=k)
-        sums = np.zeros_like(c)
-        np.add.at(sums, near, x)
+        sums = np.stack([np.bincount(near, x[:, d], k) for d in range(x.shape[1])], 1)
         c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c)
     return c
 
@@ -85,8 +85,9 @@ class Quantiser:
     def encode(self, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(list, probed lists as a mask, codes, err) of unit vectors."""
         d2 = (x**2).sum(1)[:, None] + (self.coarse**2).sum(1) - 2 * x @ self.coarse.T
-        nearest = np.argsort(d2, 1, kind="stable")[:, :NEAREST]
-        own, rows = nearest[:, 0], np.arange(len(x))
+        some = min(NEAREST, d2.shape[1])
+        nearest = np.argpartition(d2, some - 1, 1)[:, :some]
+        own, rows = d2.argmin(1), np.arange(len(x))
         probed = np.ones(d2.shape, bool)
         for k in range(nearest.shape[1]):
             near = nearest[:, k]
@@ -214,14 +215,19 @@ class Block:
             for number, lo, hi in lists:
                 own = place[owner[probes == number]]
                 own = own[own >= 0]
-                near = nodes[None, lo:hi] != ids[rows[own]][:, None]
-                if number != ODD:
-                    near &= self.q.distances(q[own], number, codes[lo:hi], [t[own] for t in tables]) <= (radius + err[lo:hi])[None, :] + SLACK
-                i, j = np.nonzero(near)
-                for k in range(0, len(i), 65536):  # the same sums for a pair in either direction
-                    a, b = own[i[k : k + 65536]], j[k : k + 65536] + lo
-                    ok = np.einsum("ij,ij->i", q[a], x[b]) >= self.cosine
-                    found.append((a[ok], b[ok]))
+                if not len(own):
+                    continue
+                mine = [t[own] for t in tables] if tables else None
+                for at in range(lo, hi, AT_ONCE):
+                    to = min(at + AT_ONCE, hi)
+                    near = nodes[None, at:to] != ids[rows[own]][:, None]
+                    if mine:
+                        near &= self.q.distances(q[own], number, codes[at:to], mine) <= (radius + err[at:to])[None, :] + SLACK
+                    i, j = np.nonzero(near)
+                    for k in range(0, len(i), 65536):  # the same sums for a pair in either direction
+                        a, b = own[i[k : k + 65536]], j[k : k + 65536] + at
+                        ok = np.einsum("ij,ij->i", q[a], x[b]) >= self.cosine
+                        found.append((a[ok], b[ok]))
             if not found:
                 continue
             i, j = (np.concatenate(f) for f in zip(*found, strict=True))
@@ -239,7 +245,7 @@ class Block:
                     label[np.isin(label, parts)] = parts[0]
 
 
-def _met(batches, q: Quantiser, cosine: float, kind: str, at_once: int = 1024):
+def _met(batches, q: Quantiser, cosine: float, kind: str, at_once: int = AT_ONCE):
     """A sorted stream of (label, group, block, asks, ...): each block's members, then its queries."""
     key, members, block, queries, out = None, [], None, [], []
 
@@ -281,12 +287,12 @@ def sound(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 8192, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int = 8192, block: int = 16384) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row of vectors (vec_id, embedding, label).
 
     `sample_rows` bounds the sample that the quantiser is fitted on (about so many rows
-    of least hash, at most twice as many); there is a list for each LIST_MEMBERS classes,
-    from 8 lists to MOST_LISTS, and a group of lists for each `block`.
+    of least hash, at most twice as many); there is a list for each LIST_MEMBERS classes of
+    the largest label, from 8 lists to MOST_LISTS, and a group of lists for each `block`.
     """
     single = isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType)
     element, kind = ("float", "<f4") if single else ("double", "<f8")
@@ -295,15 +301,15 @@ def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample_rows: int =
     good = rows.where("ok")
     classes = good.groupBy("label", "k1", "k2").agg(F.min("vec_id").alias("node"), F.count("*").alias("weight"), F.first("v").alias("v"))
     classes = stored(classes.select("label", "node", "weight", "v", "k1", "k2"), "classes")
-    n = classes.count()
+    n, most = classes.groupBy("label").count().agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.max("count"), F.lit(0))).first()
     draw = F.pmod(F.xxhash64("k1", F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(n, 1)))
     sample = classes.where(draw).select("v").limit(2 * sample_rows).toPandas()["v"]
     sizes = sample.map(len)
     dim = int(sizes.mode().iloc[0]) if len(sizes) else 1
     x = np.stack(sample[sizes == dim]) if len(sizes) else np.ones((1, 1))
     radius = float(np.sqrt(2 - 2 * cosine))
-    lists = int(np.clip(n / LIST_MEMBERS, 8, MOST_LISTS))
-    fitted = Quantiser.fit(unit(x), lists, groups=int(np.clip(n / block, 1, lists)))
+    lists = int(np.clip(most / LIST_MEMBERS, 8, MOST_LISTS))
+    fitted = Quantiser.fit(unit(x), lists, groups=int(np.clip(most / block, 1, lists)))
     held = vectors.sparkSession.sparkContext.broadcast(fitted)
     index = stored(classes.select("label", "node", "weight", "v").mapInArrow(lambda it: _encoded(it, held.value, radius), INDEX), "pq-index")
 

@@ -7,18 +7,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelwise.llm import chat, langid, licenses, packing, pqdedup, quality, secretscan, simhash, tokenfile, wordbpe
+from parcelwise.llm.common import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = langid.fit(docs.where(~held_out()))
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "ambiguous")
@@ -30,11 +35,11 @@ def op2_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secretscan.digest(secretscan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return secretscan.digest(secretscan.scan(documents(spark, sf_dir).select("doc_id", "text")))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    judged = quality.judge(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -46,18 +51,18 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.digest(licenses.scan(table(spark, sf_dir, "documents")))
+    return licenses.digest(licenses.scan(documents(spark, sf_dir)))
 
 
 def op7_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
-    done = wordbpe.decode(wordbpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
+    done = wordbpe.decode(wordbpe.encode(documents(spark, sf_dir).select("doc_id", "text"), path).drop("text"), path)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return done.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -66,7 +71,7 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     packed = packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), ids=False)
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 

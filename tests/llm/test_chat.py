@@ -43,3 +43,11 @@ def test_conversations(spark):
     whole = chat.format_chats(df).where("conv_id = 1").orderBy("turn").collect()
     assert got[1].formatted_chars == sum(len(r.formatted) for r in whole)
     assert chat.read_back(chat.format_chats(df.limit(0))).count() == 0
+
+
+def test_clashing_columns(spark):
+    df, _ = conversations(spark)
+    plain = df.drop("formatted")
+    odd = plain.selectExpr("*", "1 as loss_start", "'x' as loss_end", "2 as n_turns", "'y' as turns_sha256", "3 as formatted_chars")
+    rows = lambda x: sorted(map(tuple, chat.read_back(chat.format_chats(x)).collect()), key=repr)
+    assert rows(odd) == rows(plain)
