@@ -103,16 +103,16 @@ class ShiftLimit:
 
 
 class Nearest:
-    """By point and cluster, the distance and number of the cluster's nearest allocated point.
+    """By cluster and point, the distance and number of the cluster's nearest allocated point.
 
     Every coordinate counts once, for its first allocated point: repeated stops would make
-    all usual steps zero. Points are added as they are allocated, at a distance column each.
+    all usual steps zero. Points are added as they are allocated, at a row of distances each.
     """
 
     def __init__(self, clusterer: Clusterer, k: int):
         n = len(clusterer.points)
-        self.of, self.everything = clusterer, np.arange(n)
-        self.far, self.who = np.full((n, k), np.inf), np.full((n, k), -1)
+        self.of = clusterer
+        self.far, self.who = np.full((k, n), np.inf), np.full((k, n), -1)
         self.held = np.full(int(clusterer.place.max()) + 1 if n else 0, -1)
 
     def points(self) -> np.ndarray:
@@ -120,9 +120,10 @@ class Nearest:
         return self.held[self.held >= 0]
 
     def take(self, p: int, label: int) -> None:
-        far = self.of.apart(self.everything, np.array([p]))[:, 0]
-        nearer = far < self.far[:, label]
-        self.far[nearer, label], self.who[nearer, label] = far[nearer], p
+        far = degrees(self.of.points[p : p + 1], self.of.points)[0] if self.of.table is None else self.of.table[p]
+        nearer = far < self.far[label]
+        np.copyto(self.far[label], far, where=nearer)
+        self.who[label][nearer] = p
 
     def add(self, which: np.ndarray, labels: np.ndarray) -> None:
         for p in which.tolist():
@@ -133,7 +134,7 @@ class Nearest:
             self.held[place] = p
             if before >= 0 and labels[before] != labels[p]:  # the coordinate changes its cluster
                 other = labels[before]
-                self.far[:, other], self.who[:, other] = np.inf, -1
+                self.far[other], self.who[other] = np.inf, -1
                 for q in (x for x in self.points().tolist() if labels[x] == other):
                     self.take(q, other)
             self.take(p, labels[p])
@@ -179,10 +180,10 @@ class Clusterer:
         taken = near.points()
         if len(np.unique(labels[taken])) < 2:
             raise ValueError("weighing needs at least two clusters")
-        far = near.far[left]
+        far = near.far[:, left].T
         two = np.argpartition(far, 1, 1)[:, :2]
         two = np.take_along_axis(two, np.lexsort((two, np.take_along_axis(far, two, 1))), 1)
-        d, who = np.take_along_axis(far, two, 1), near.held[self.place[near.who[left[:, None], two]]]
+        d, who = np.take_along_axis(far, two, 1), near.held[self.place[near.who[two, left[:, None]]]]
         first = who[:, 0]
         t1, t2 = (np.where(np.isnan(t) | (t == 0), DAY, t) for t in (self.drives(left, first), self.drives(left, who[:, 1])))
         rims, back = np.unique(first, return_inverse=True)
@@ -212,12 +213,15 @@ class Clusterer:
             else:
                 weights = np.ones(len(left))
             many = k * next(m for over, m in ((0.9, 1), (0.7, 2), (0.4, 3), (-1.0, 5)) if full.max() > over)
-            placed: list[int] = []
-            for i in left[np.argsort(-weights, kind="stable")[:many]]:
-                if placed and radius and degrees(points[i : i + 1], points[placed]).min() < radius:
+            heaviest = left[np.argsort(-weights, kind="stable")[:many]]
+            placed, spots = [], np.empty((len(heaviest), 2))
+            for i in heaviest.tolist():
+                apart = spots[: len(placed)] - points[i]
+                if placed and radius and (apart * apart).sum(1).min() < radius * radius:
                     continue
-                placed.append(int(i))
-            owners = near.far[placed].argmin(1)
+                spots[len(placed)] = points[i]
+                placed.append(i)
+            owners = near.far[:, placed].argmin(0)
             labels[placed] = owners
             near.add(np.array(placed), labels)
             touched = np.unique(owners).tolist()

@@ -374,9 +374,9 @@ def test_nearest_allocated_points_equal_brute_force():
         for k in range(4):
             own = held[labels[held] == k]
             want = np.linalg.norm(xy[:, None] - xy[own][None], axis=2).min(1) if len(own) else np.full(60, np.inf)
-            assert np.allclose(near.far[:, k], want)
-            some = np.flatnonzero(np.isfinite(near.far[:, k]))
-            assert np.allclose(np.linalg.norm(xy[some] - xy[near.who[some, k]], axis=1), want[some])
+            assert np.allclose(near.far[k], want)
+            some = np.flatnonzero(np.isfinite(near.far[k]))
+            assert np.allclose(np.linalg.norm(xy[some] - xy[near.who[k, some]], axis=1), want[some])
 
 
 def test_shift_clusters(town):
