@@ -192,6 +192,30 @@ def test_embeddings_equal_brute_force(spark, block):
         assert (got[i].n_links, got[i].component_id, got[i].kept) == (n[i], want[i], want[i] == i)
 
 
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_a_cosine_of_exactly_the_threshold_links(spark, kind):
+    """(49, 7, 7, 1) has length 50 and cosine 0.98 with the first axis, to the last bit."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (2, [49.0, 7.0, 7.0, 1.0]), (3, [49.0, 7.0, 7.0, 1.5]), (4, [-49.0, 7.0, 7.0, 1.0]), (5, [3.0, 0.0, 0.0, 0.0]), (6, [49.0, -7.0, 7.0, -1.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], f"vec_id long, embedding array<{kind}>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in pqdedup.near_duplicates(df).collect()}
+    assert got == {1: (3, 1), 2: (3, 1), 3: (1, 1), 4: (0, 4), 5: (3, 1), 6: (2, 1)}
+
+
+def test_embeddings_of_a_hot_list(spark):
+    """A third of all vectors near one direction, in blocks far smaller than their list: links and counts are whole."""
+    rng = np.random.default_rng(7)
+    hot = np.eye(8)[0] + rng.normal(size=(200, 8)) * 0.1
+    rest = rng.normal(size=(400, 8))
+    rows = [(i, v.tolist(), i % 2) for i, v in enumerate(np.vstack([hot, rest]))]
+    unit = np.array([v for _, v, _ in rows]) / np.linalg.norm([v for _, v, _ in rows], axis=1)[:, None]
+    links = [(i, j) for i, j in combinations(range(600), 2) if i % 2 == j % 2 and unit[i] @ unit[j] >= 0.98]
+    want, n = components_of(range(600), links), np.bincount(np.array(links).ravel(), minlength=600)
+    for kind, block in (("double", 32), ("double", 16384)):
+        df = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
+        got = {r.vec_id: (r.n_links, r.component_id) for r in pqdedup.near_duplicates(df, block=block).collect()}
+        assert got == {i: (n[i], want[i]) for i in range(600)}
+
+
 def test_embeddings_without_rows(spark):
     none = spark.createDataFrame([], "vec_id long, embedding array<float>, label int")
     assert pqdedup.near_duplicates(none).count() == 0

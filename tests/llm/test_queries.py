@@ -1,11 +1,15 @@
 """The registered corpus queries on the small tables: against SQL where there is some, else against brute force."""
 
+import hashlib
+import re
 import zlib
+from itertools import combinations
 
 import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from parcelwise.llm import queries
@@ -13,6 +17,30 @@ from parcelwise.llm import queries
 SF = "/root/testdata/sf0.001"
 
 
+def sha256(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_print(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    hashes = [xxhash.xxh64_intdigest(" ".join(words[i : i + 4]).encode(), 42) for i in range(max(1, len(words) - 3))] if words else []
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_of(nodes, links):
+    part = {n: n for n in nodes}
+
+    def find(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a, b in links:
+        a, b = sorted((find(a), find(b)))
+        part[b] = a
+    return {n: find(n) for n in nodes}
+
+
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
@@ -81,5 +109,24 @@ def test_packing(spark, ids):
         assert [a for a, _ in sorted(own)] == ends[:-1] and ends[-1] <= 2048
 
 
+def test_word_bpe(spark, texts):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    rows = queries.op7_word_bpe(spark, SF).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    for r in rows:
+        own = library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids
+        assert (r.n_tokens, r.ids_sha256) == (len(own), sha256(" ".join(map(str, own))))
+        assert r.decoded_sha256 == sha256(library.decode(own, skip_special_tokens=False))
+
+
+def test_simhash(spark, texts):
+    prints = {i: plain_print(t) for i, t in texts.items()}
+    links = [(a, b) for a, b in combinations(prints, 2) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    want = components_of(prints, links)
+    rows = queries.op8_simhash(spark, SF).collect()
+    assert {r.doc_id: (r.fingerprint, r.component_id) for r in rows} == {i: (f"{p:016x}", want[i]) for i, p in prints.items()} and len(rows) == len(texts)
+
+
 def test_registered_names():
     assert [n.split("_")[0] for n in queries.queries()] == [f"op{i}" for i in range(1, 11)]

@@ -35,6 +35,22 @@ def test_both_encoders_equal_the_library(text):
 LIBRARY = Tokenizer.from_file(BYTES), Tokenizer.from_file(WORDS)
 
 
+def test_every_vocabulary_entry_is_encoded_as_the_library_does():
+    """All printable entries of the byte-level file, and as many random joins of two or three of them."""
+    letters = bytebpe.byte_letters()
+    entries = []
+    for token in LIBRARY[0].get_vocab():
+        try:
+            entries.append(bytes(letters[c] for c in token).decode())
+        except (KeyError, UnicodeDecodeError):
+            continue
+    rng = random.Random(0)
+    texts = entries + ["".join(rng.choices(entries, k=rng.choice((2, 3)))) for _ in range(len(entries))]
+    assert len(entries) > 45_000
+    for text, found in zip(texts, LIBRARY[0].encode_batch(texts, add_special_tokens=False), strict=True):
+        assert bytebpe.encode(BYTES, text).tolist() == found.ids, text
+
+
 @pytest.mark.parametrize("text", ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000 + "x", "a" * 300_000, "é#" * 100_000])
 def test_very_long_runs(text):
     assert bytebpe.encode(BYTES, text).tolist() == ids_of(LIBRARY[0], text)
