@@ -160,7 +160,18 @@ def plan(orders: DataFrame, depots: DataFrame, road_lines: DataFrame | None, set
     return stats, report.result_orders(points.drop("lat", "lon"), done)
 
 
-EXPORTS = {"json": lambda stats, rows, at, *_: report.export_json(stats, rows, at), "workbooks": lambda stats, rows, at, *_: report.export_workbooks(stats, rows, at), "tables": lambda stats, rows, at, *_: report.export_tables(stats, rows, at), "map": lambda _, rows, at, depots: report.export_map(rows.select("point_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "label"), depots, at)}
+def mapped(stats: DataFrame, rows: DataFrame, folder: str, depots: DataFrame) -> str:
+    points = rows.select("point_id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), "label")
+    return report.export_map(points, depots, folder)
+
+
+#: By the name of a format, what writes (statistics, orders) to a folder and tells the path.
+EXPORTS = {
+    "json": lambda stats, rows, folder, depots: report.export_json(stats, rows, folder),
+    "map": mapped,
+    "tables": lambda stats, rows, folder, depots: report.export_tables(stats, rows, folder),
+    "workbooks": lambda stats, rows, folder, depots: report.export_workbooks(stats, rows, folder),
+}
 
 
 def main(args: list[str] | None = None) -> int:

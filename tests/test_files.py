@@ -205,6 +205,15 @@ def test_command_line_with_a_cache(spark, orders, road_file, tmp_path, capsys, m
     assert spark.read.parquet(f"{tmp_path}/tables/orders").count() == 25
 
 
+def test_formats(spark, tmp_path):
+    stats = spark.createDataFrame([(1, 2)], "label long, count_orders long")
+    rows = spark.createDataFrame([(0, 40.1, -73.9, 1, 1), (1, 40.2, -73.8, 1, 2)], "point_id long, latitude double, longitude double, label long, route_series int")
+    depots = spark.createDataFrame([(40.5, -73.5)], "lat double, lon double")
+    found = {kind: write(stats, rows, f"{tmp_path}/{kind}", depots) for kind, write in planner.EXPORTS.items()}
+    assert found == {"json": f"{tmp_path}/json/result.json.gz", "map": f"{tmp_path}/map/map.html", "tables": f"{tmp_path}/tables", "workbooks": f"{tmp_path}/workbooks/result.zip"}
+    assert open(found["map"]).read().count('"label"') == 2 and spark.read.parquet(f"{found['tables']}/orders").count() == 2
+
+
 def test_large_results_are_refused(spark):
     rows = spark.range(3).selectExpr("id as point_id", "id as label")
     with pytest.raises(ValueError, match="export_tables"):
