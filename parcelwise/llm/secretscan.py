@@ -22,7 +22,6 @@ from re import _parser
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -244,27 +243,52 @@ def without(text: str, spans: list[tuple[int, int]], mark: str) -> str:
     return "".join([*out, text[at:]])
 
 
+def marked(texts: pa.Array, spans: list[list[tuple[int, int]]], mark: str) -> pa.Array:
+    """The texts, those with spans redacted."""
+    if not any(spans):
+        return texts
+    done = texts.to_pylist()
+    for i, own in enumerate(spans):
+        if own:
+            done[i] = without(done[i], own, mark)
+    return pa.array(done, texts.type)
+
+
+def _with_text(block: pa.RecordBatch, texts: pa.Array) -> pa.RecordBatch:
+    at = block.schema.get_field_index("text")
+    return block.set_column(at, block.schema.field(at), texts)
+
+
 def _redacted(batches, mark: str):
     def one(block: pa.RecordBatch) -> pa.RecordBatch:
         texts, spans = (block.column(block.schema.get_field_index(c)) for c in ("text", "spans"))
-        hit = np.flatnonzero(pc.fill_null(pc.list_value_length(spans), 0).to_numpy(zero_copy_only=False))
-        rest = block.drop_columns(["spans"])
-        if not len(hit):
-            return rest
-        done = texts.to_pylist()
-        for i in hit.tolist():
-            done[i] = without(done[i], [(s["start"], s["end"]) for s in spans[i].as_py()], mark)
-        at = rest.schema.get_field_index("text")
-        return rest.set_column(at, rest.schema.field(at), pa.array(done, texts.type))
+        own = [[(s["start"], s["end"]) for s in x or ()] for x in spans.to_pylist()]
+        return _with_text(block.drop_columns(["spans"]), marked(texts, own, mark))
 
     yield from by_blocks(batches, "text", one)
 
 
+def _scrubbed(batches, rules, mark: str):
+    def one(block: pa.RecordBatch) -> pa.RecordBatch:
+        texts = block.column(block.schema.get_field_index("text"))
+        return _with_text(block, marked(texts, [[(a, b) for _, a, b in x] for x in scanner(rules).scan(texts)], mark))
+
+    yield from by_blocks(batches, "text", one)
+
+
+def _counted(out: DataFrame) -> DataFrame:
+    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+
+
 def redacted(scanned: DataFrame, mark: str = "[secret]") -> DataFrame:
     """scanned without `spans`, each stretch that spans cover in `text` replaced by `mark`; n_chars follows, if there.
 
     Texts without spans stay as they are, null included. Time is linear in a text and its spans.
     """
     schema = T.StructType([f for f in scanned.schema.fields if f.name != "spans"])
-    out = small_batches(scanned).mapInArrow(lambda it: _redacted(it, mark), schema)
-    return out.withColumn("n_chars", F.length("text").cast(out.schema["n_chars"].dataType)) if "n_chars" in out.columns else out
+    return _counted(small_batches(scanned).mapInArrow(lambda it: _redacted(it, mark), schema))
+
+
+def scrubbed(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[secret]") -> DataFrame:
+    """docs with the texts of redacted(scan(docs)), all columns kept: found and replaced in one pass, by one worker a task."""
+    return _counted(small_batches(docs).mapInArrow(lambda it: _scrubbed(it, rules, mark), docs.schema))

@@ -109,6 +109,15 @@ def test_redaction_is_linear(spark):
     assert got == {1: ("[secret] é " * 20_000, str(11 * 20_000)), 2: (None, None), 3: ("clean", "5")}
 
 
+def test_scrubbing_in_one_pass_equals_scan_and_redaction(spark, odd_docs, no_docs):
+    more = spark.createDataFrame([(1000 + i, t, "en", "s", 1) for i, t in enumerate(SECRETS)], no_docs.schema)
+    docs = odd_docs.select(*no_docs.columns).unionByName(more)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(secretscan.scrubbed(docs)) == rows(secretscan.redacted(secretscan.scan(docs)).select(*docs.columns))
+    assert secretscan.scrubbed(no_docs).count() == 0
+    assert secretscan.scrubbed(odd_docs).columns == odd_docs.columns  # `spans` is a column like any other
+
+
 # ---- quality
 
 
