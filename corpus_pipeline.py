@@ -60,7 +60,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts stay null, texts without secrets as they are; repeated rows and rows
     without a doc_id are scanned each.
     """
-    return secretscan.redacted(secretscan.scan(docs)).select(*docs.columns)
+    return secretscan.scrubbed(docs).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
