@@ -14,7 +14,7 @@ BLOCK_BYTES = 4 << 20
 
 
 #: Bytes of an Arrow batch between JVM and Python at most; a longer text stands alone.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
 
 
 def small_batches(df: DataFrame) -> DataFrame:
@@ -31,12 +31,12 @@ def small_batches(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where a table comes in fewer parts than they are, as a small file in one row group does.
+    """df over all cores where a table comes in fewer parts than there are cores, as a small file in one row group does.
 
-    Tables of any size worth the name come in more, and then nothing is exchanged.
+    The same rows either way; tables of any size worth the name come in more parts, and then nothing is exchanged.
     """
-    few = 2 * df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(few) if df.rdd.getNumPartitions() < few else df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
