@@ -217,14 +217,15 @@ def components(prints: DataFrame, bits: int) -> DataFrame:
     """print, part (the least print reachable) and component_id (the part's least doc_id) of every print.
 
     Prints without links, the many, are parts of their own. The names of the others come
-    back by a salted join, as a part may hold very many prints.
+    back by a salted join, as a part may hold very many prints; its copies of the names
+    are not to be broadcast, whatever their size before they are copied.
     """
     nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("least")), "nodes")
     found = connected(near_links(nodes.select("print", F.col("print").alias("node")), bits), "simhash")
     parts = nodes.join(found.select(F.col("node").alias("print"), F.col("component").alias("part")), "print", "left")
     linked = parts.where("part is not null").withColumn("salt", F.pmod(F.xxhash64("print"), F.lit(SALTS)).cast("int"))
     names = linked.groupBy("part").agg(F.min("least").alias("component_id")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    named = linked.join(names, ["part", "salt"]).select("print", "part", "component_id")
+    named = linked.join(names.hint("merge"), ["part", "salt"]).select("print", "part", "component_id")
     return parts.where("part is null").select("print", F.col("print").alias("part"), F.col("least").alias("component_id")).unionByName(named)
 
 
