@@ -81,7 +81,7 @@ def route_seconds(stops: list[int], places: list[int], start: int | None, second
     """Drive time from the start over the stops in order, without a way back."""
     ordered = [s for _, s in sorted(zip(places, stops, strict=True))]
     legs = ordered if start is None else [start, *ordered]
-    return float(sum(seconds(a, b) for a, b in zip(legs, legs[1:], strict=False)))
+    return float(sum(seconds.legs(legs).tolist()))
 
 
 def tour(stops: list[int], start: int | None, seconds: PairTimes) -> tuple[float, list[int]]:

@@ -379,6 +379,45 @@ def test_nearest_allocated_points_equal_brute_force():
             assert np.allclose(np.linalg.norm(xy[some] - xy[near.who[k, some]], axis=1), want[some])
 
 
+def test_two_nearest_clusters_and_steps_equal_brute_force():
+    rng = np.random.default_rng(5)
+    xy = rng.random((90, 2))
+    c = clusters.Clusterer(xy, clusters.SizeLimit(5))
+    assert c.single and (c.spots[c.place] == xy).all()
+    labels = np.full(90, -1)
+    near = clusters.Nearest(c, 5)
+    apart = np.linalg.norm(c.spots[:, None] - c.spots[None], axis=2)
+    for i, which in enumerate(np.split(rng.permutation(90)[:72], 12)):
+        labels[which] = rng.integers(0, 1 if i < 2 else 5, len(which))  # one cluster only at first
+        near.add(which, labels)
+        held = near.held >= 0
+        far = np.array([np.where(held & (near.label == k), apart, np.inf).min(1) for k in range(5)])
+        open_, two = ~held, np.sort(far, 0)[:2]
+        assert np.allclose(near.away[:, open_], two[:, open_])
+        for j in range(2):
+            some = np.flatnonzero(open_ & np.isfinite(two[j]))
+            assert np.allclose(far[near.cluster[j, some], some], two[j, some]) and np.allclose(apart[some, near.spot[j, some]], two[j, some])
+        others = np.sort(np.where(held & ~np.eye(90, dtype=bool), apart, np.inf), 1)[:, :2].T
+        assert np.allclose(near.step, others) and np.allclose(apart[np.arange(90), near.beside], others)
+
+
+def test_thinned_equals_comparing_all():
+    xy = np.random.default_rng(6).random((400, 2)) * [1, 3]
+    for radius in (0.0, 0.01, 0.1, 0.35, 5.0):
+        want = []
+        for i in range(400):
+            if not radius or all(((xy[i] - xy[j]) ** 2).sum() >= radius * radius for j in want):
+                want.append(i)
+        assert clusters.thinned(np.arange(400), xy, radius) == want
+
+
+def test_routes_are_found_once(spark, net):
+    """What shift_clusters returns is read from storage: joining its dense labels would else cluster every zone twice."""
+    points = planner.snapped_points(tables.points(spark, SF).where("point_id < 60"), net)
+    made = zones.shift_clusters(points, zones.plan_zones(points), net.graph, [(40.1, -73.9, 0)], most_rounds=2)
+    assert "InPandas" not in made._jdf.queryExecution().toString() and made.count() == points.count()
+
+
 def test_shift_clusters(town):
     xy, nodes, times = town
     depots, depot_nodes = np.array([[40.1, -73.9], [40.25, -73.75]]), [52, 113]
