@@ -401,6 +401,21 @@ def test_two_nearest_clusters_and_steps_equal_brute_force():
         assert np.allclose(near.step, others) and np.allclose(apart[np.arange(90), near.beside], others)
 
 
+def test_orders_at_an_address_are_placed_together(town, monkeypatch):
+    """An address is one thing to place, however many orders it has, and counts as all of them."""
+    xy, _, _ = town
+    met, weights = [], clusters.Clusterer.weights
+    monkeypatch.setattr(clusters.Clusterer, "weights", lambda self, left, *a: met.append(len(left)) or weights(self, left, *a))
+    place = np.random.default_rng(2).permutation(np.repeat(np.arange(240), 10))
+    labels = clusters.by_size(xy[place], 200)
+    assert met and max(met) <= 240
+    assert len(set(zip(place.tolist(), labels.tolist(), strict=True))) == 240
+    sizes = np.bincount(labels)
+    assert (sizes > 0).all() and sizes.sum() == 2400 and sizes.std() < 120 and 8 <= len(sizes) <= 16
+    few = clusters.by_size(np.repeat(xy[:30], 20, 0), 10)  # more clusters wanted than addresses
+    assert len(set(few.tolist())) == 30 and (np.bincount(few) == 20).all()
+
+
 def test_thinned_equals_comparing_all():
     xy = np.random.default_rng(6).random((400, 2)) * [1, 3]
     for radius in (0.0, 0.01, 0.1, 0.35, 5.0):
